@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import components, near_dup
+from tallymark.llm import components, leakage, mojibake, near_dup
 from tallymark.runtime import table
 
 
@@ -17,5 +17,19 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.match_groups(records, table(spark, sf_dir, "work_matches", "record_a", "record_b", "verdict"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the stretches within the radius, those equal word for word."""
+    found = leakage.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "text"))
+    return found.filter("exact").select("doc_id", "item_id")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.mended(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id")
+
+
+def p9_mended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.mended(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p8_found": p8_found, "p9_found": p9_found, "p9_mended": p9_mended}
 ORACLE: dict[str, str] = {}
