@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import components, leakage, mojibake, near_dup
+from tallymark.llm import components, leakage, mojibake, names, near_dup
 from tallymark.runtime import table
 
 
@@ -12,6 +12,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.record_pairs(table(spark, sf_dir, "synthetic_dataset", "record_id", "district", "work_name"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "synthetic_dataset", "record_id", "vendor_name", "implementing_agency")
+    return names.link(records, table(spark, sf_dir, "entity_register"), {"vendor_name": "vendor", "implementing_agency": "agency"})
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "synthetic_dataset", "record_id", "work_id")
     return components.match_groups(records, table(spark, sf_dir, "work_matches", "record_a", "record_b", "verdict"))
@@ -31,5 +36,5 @@ def p9_mended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.mended(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p8_found": p8_found, "p9_found": p9_found, "p9_mended": p9_mended}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p8_found": p8_found, "p9_found": p9_found, "p9_mended": p9_mended}
 ORACLE: dict[str, str] = {}
