@@ -1,7 +1,7 @@
 """All queries of the core, with the SQL of those that SQL can express."""
 
-from tallymark.plans import problems
+from tallymark.plans import problems, works
 
-FLAGSHIP = "p5_found"
-QUERIES = {**problems.QUERIES}
-ORACLE = {**problems.ORACLE}
+FLAGSHIP = "confidence_report"
+QUERIES = {**works.QUERIES, **problems.QUERIES}
+ORACLE = {**works.ORACLE, **problems.ORACLE}
