@@ -154,6 +154,9 @@ def pack_all(sizes: DataFrame, containers: DataFrame, doc: str = "doc_id") -> Da
     for row in containers.filter(F.col("capacity_tokens") > 0).orderBy("container").limit(1000).collect():
         part = pack(sizes, int(row["capacity_tokens"]), doc).select(F.lit(row["container"]).alias("container"), F.lit(int(row["capacity_tokens"])).alias("capacity"), doc, "piece", "tokens", "bin")
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        kind = sizes.schema[doc].dataType.simpleString()
+        out = sizes.sparkSession.createDataFrame([], f"container string, capacity int, `{doc}` {kind}, piece int, tokens long, bin long")
     return out
 
 

@@ -32,7 +32,7 @@ FINISH = 2_000
 
 def _values(df: DataFrame, group: str, value: str) -> DataFrame:
     v = F.col(value).cast("double")
-    return df.select(F.col(group).alias("g"), v.alias("v"), *[c for c in df.columns if c == "part"]).filter(v.isNotNull() & ~F.isnan(v))
+    return df.select(F.col(group).alias("g"), v.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
 def summarise(df: DataFrame, group: str, value: str, part: str | None = None, error: float = ERROR) -> DataFrame:
