@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.functions import dates, text
-from tallymark.operators import anomaly, cleaning, confidence, duplicates, matching, peers, screens
+from tallymark.operators import anomaly, cleaning, confidence, duplicates, entities, groups, matching, peers, reports, screens
+from tallymark.operators.quantile import exact_quantiles
 from tallymark.runtime import PLACEHOLDERS, materialize, table
+from tallymark.streaming import windows
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -456,3 +458,85 @@ def audit_hashes(spark, sf_dir):
     f = table(spark, sf_dir, "audit_findings", "audit_id", "district", "severity").filter("audit_id IS NOT NULL")
     payload = F.to_json(F.struct(F.struct("district", "severity").alias("payload"), F.col("audit_id").alias("record_id")), {"ignoreNullFields": "false"})
     return f.select("audit_id", F.sha2(payload, 256).alias("input_hash"))
+
+
+# ---- entities, reports, windows ----------------------------------------------------------------------------------------
+@query()
+def work_entities(spark, sf_dir):
+    out = entities.work_entities(cleaned(spark, sf_dir))
+    return out.select("record_id", "work_entity", "group_size", "confidence", "consistency", F.array_join("matched", ",").alias("matched"), F.array_join("conflicting", ",").alias("conflicting"))
+
+
+@query()
+def fuzzy_firms(spark, sf_dir):
+    return entities.fuzzy_firms(materialize(matching.vendor_entities(works(spark, sf_dir)), "firms"))
+
+
+@query()
+def duplicate_groups(spark, sf_dir):
+    return groups.components(duplicate_scores(spark, sf_dir))
+
+
+@query()
+def audit_paragraphs(spark, sf_dir):
+    return reports.paragraphs(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("""SELECT work_id, max((severity = 'HIGH')::INT) AS "HIGH", max((severity = 'MEDIUM')::INT) AS "MEDIUM", max((severity = 'LOW')::INT) AS "LOW" FROM audit_findings WHERE work_id IS NOT NULL GROUP BY work_id""")
+def findings_multi_hot(spark, sf_dir):
+    return reports.multi_hot(table(spark, sf_dir, "audit_findings", "work_id", "severity"), "work_id", "severity", ("HIGH", "MEDIUM", "LOW"))
+
+
+_LEX = ("work_name", "district", "state", "implementing_agency", "vendor_name", "status", "date_approval")
+
+
+@query(f"""WITH c AS ({" UNION ALL ".join(f"SELECT '{c}' AS field, lower(trim({c})) AS token FROM synthetic_dataset" for c in _LEX)})
+    SELECT token, count(DISTINCT field) AS fields, count(*) AS n FROM c WHERE length(token) <= 14 AND NOT regexp_matches(token, '[1-9]') GROUP BY token HAVING count(DISTINCT field) >= 2 AND count(*) >= 10""")
+def nullish_lexicon(spark, sf_dir):
+    return reports.nullish_lexicon(works(spark, sf_dir), _LEX)
+
+
+@query(f"""WITH {CLEAN} SELECT coalesce(vendor_name, 'MISSING') AS value, (row_number() OVER (ORDER BY count(*) DESC, coalesce(vendor_name, 'MISSING')) - 1)::INT AS index, count(*) AS n FROM clean GROUP BY 1 HAVING count(*) >= 20""")
+def frequent_vendors(spark, sf_dir):
+    return reports.frequent(cleaned(spark, sf_dir), "vendor_name")
+
+
+@query(f"""WITH {CLEAN} SELECT work_id, count(*) AS n, count(DISTINCT district) AS districts, count(DISTINCT status) AS statuses, count(DISTINCT district) > 1 OR count(DISTINCT status) > 1 AS conflict
+    FROM clean WHERE work_id IS NOT NULL GROUP BY work_id HAVING count(*) > 1""")
+def work_context(spark, sf_dir):
+    return reports.work_context(cleaned(spark, sf_dir))
+
+
+@query("""SELECT verdict, count(*) AS n, round((h / n0 + 1.96 * 1.96 / (2 * n0) - 1.96 * sqrt(h / n0 * (1 - h / n0) / n0 + 1.96 * 1.96 / (4 * n0 * n0))) / (1 + 1.96 * 1.96 / n0), 7) AS low
+    FROM (SELECT verdict, count(*) AS n0, count(score)::DOUBLE AS h FROM work_matches GROUP BY verdict) JOIN work_matches USING (verdict) GROUP BY verdict, n0, h""")
+def score_coverage(spark, sf_dir):
+    m = table(spark, sf_dir, "work_matches", "verdict", "score").filter("verdict IS NOT NULL").groupBy("verdict").agg(F.count("*").alias("n"), F.count("score").alias("h"))
+    return m.select("verdict", "n", F.round(reports.wilson(F.col("h"), F.col("n"))[0], 7).alias("low"))
+
+
+@query(f"""WITH {CLEAN}, a AS (SELECT record_id FROM clean WHERE sanction_amount IS NOT NULL ORDER BY sanction_amount DESC, record_id LIMIT 100), b AS (SELECT record_id FROM clean WHERE amount_spent IS NOT NULL
+    ORDER BY amount_spent DESC, record_id LIMIT 100) SELECT count(*) / 100 AS overlap FROM a JOIN b USING (record_id)""")
+def ranking_overlap(spark, sf_dir):
+    c = cleaned(spark, sf_dir)
+    pick = lambda f: c.select("record_id", F.col(f).alias("s"))
+    return reports.overlap(pick("sanction_amount"), pick("amount_spent"), "record_id", "s", 100)
+
+
+@query(f"""WITH {CLEAN}, x AS (SELECT record_id, amount_spent FROM clean WHERE amount_spent IS NOT NULL), e AS (SELECT quantile_cont(amount_spent, [0.2, 0.4, 0.6, 0.8]) AS q FROM x)
+    SELECT len(list_filter(q, lambda v: v <= amount_spent)) AS band, count(*) AS n FROM x, e GROUP BY 1""")
+def spending_bands(spark, sf_dir):
+    c = cleaned(spark, sf_dir).select("amount_spent").filter("amount_spent IS NOT NULL")
+    edges = exact_quantiles(c, [], "amount_spent", [0.2, 0.4, 0.6, 0.8]).select(F.array("q0", "q1", "q2", "q3").alias("q"))
+    banded = c.crossJoin(F.broadcast(edges)).select(F.size(F.filter("q", lambda v: v <= F.col("amount_spent"))).alias("band"))  # edges is one row
+    return banded.groupBy("band").agg(F.count("*").alias("n"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    return windows.counts(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 6)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, count(*) AS n, min(ts) AS start FROM s GROUP BY user_id, k""")
+def event_sessions(spark, sf_dir):
+    return windows.sessions(table(spark, sf_dir, "events")).select("user_id", "n", F.col("start").cast("timestamp_ntz").alias("start"))
