@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.operators.cleaning import FIELDS
+from tallymark.runtime import materialize
 
 CORRUPT = "_corrupt_record"
 ENCODINGS = ("utf-8", "cp1252", "latin-1")
@@ -51,7 +52,7 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "ut
     labels = spark.read.csv(spark.sparkContext.parallelize([head[0][0].lstrip("﻿")]), sep=sep).collect()[0]
     schema = T.StructType([T.StructField(str(c), T.StringType()) for c in labels] + [T.StructField(CORRUPT, T.StringType())])
     options = {"header": True, "sep": sep, "encoding": encoding, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "quote": '"', "escape": '"', "multiLine": True, "nullValue": "\u0000", "emptyValue": "", "enforceSchema": True}
-    read = spark.read.schema(schema).options(**options).csv(path)
+    read = materialize(spark.read.schema(schema).options(**options).csv(path), "csv")  # the text is parsed once for both results
     bad = read.filter(F.col(CORRUPT).isNotNull()).select(F.lit("column_count").alias("kind"), F.size(F.split(CORRUPT, re.escape(sep))).alias("n_fields"), F.substring(CORRUPT, 1, 200).alias("preview"))
     return read.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), bad
 
