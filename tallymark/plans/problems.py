@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.operators import moments, recover
-from tallymark.runtime import table
+from tallymark.runtime import PLACEHOLDERS, table
 
 DATE_COLUMNS = ("date_proposal", "date_approval", "date_completion")
 
@@ -28,4 +28,44 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_good_rows": p5_good_rows, "p6_found": p6_found}
-ORACLE: dict[str, str] = {}
+
+_PH = ", ".join(f"'{p}'" for p in PLACEHOLDERS)
+_SEPS = {",": "','", ";": "';'", "|": "'|'", "\\t": "chr(9)"}
+
+
+def _by_sep(sql: str) -> str:
+    return "CASE sep " + " ".join(f"WHEN {literal} THEN {sql.replace('SEP', s)}" for s, literal in _SEPS.items()) + " END"
+
+
+_FIELD = '(?:"(?:[^"]|"")*"|[^"SEP][^SEP]*|)'
+_FINE = _by_sep(f"regexp_full_match(r, '{_FIELD}(?:[SEP]{_FIELD})*')")
+_SPLIT = _by_sep(f"regexp_extract_all(r || sep, '({_FIELD})[SEP]', 1)")
+_OF = lambda i: f"trim(CASE WHEN starts_with(f[{i}], '\"') THEN replace(substr(f[{i}], 2, length(f[{i}]) - 2), '\"\"', '\"') ELSE f[{i}] END, ' ' || chr(9) || chr(10) || chr(13))"
+_MON = "(jan|january|feb|february|mar|march|apr|april|may|jun|june|jul|july|aug|august|sep|september|oct|october|nov|november|dec|december)"
+_MNO = lambda x: f"((strpos('janfebmaraprmayjunjulaugsepoctnovdec', left({x}, 3)) + 2) // 3)"
+
+
+def _no_amount(v: str) -> str:
+    mark = r"(rs[.]?|inr|₹)\s*"
+    bare = f"replace(regexp_replace(lower({v}), '^{mark}', ''), ',', '')"
+    return rf"""lower({v}) NOT IN ({_PH}) AND NOT (regexp_full_match(lower({v}), '({mark})?[+-]?([0-9]+(,[0-9]+)*([.][0-9]*)?|[.][0-9]+)(e[+-]?[0-9]+)?')
+        AND coalesce(try_cast({bare} AS DOUBLE) BETWEEN 0 AND 1.7e308, false))"""
+
+
+def _no_date(v: str) -> str:
+    dn, nd = rf"([0-9]{{1,2}})\s+{_MON}\s+([0-9]{{4}})", rf"{_MON}\s+([0-9]{{1,2}}),\s+([0-9]{{4}})"
+    g = lambda p, i: f"regexp_extract(lower({v}), '{p}', {i})"
+    last = " ".join(rf"WHEN regexp_full_match({v}, '[0-9]{{1,2}}{x}[0-9]{{1,2}}{x}[0-9]{{4}}') THEN regexp_replace({v}, '([0-9]+){x}([0-9]+){x}([0-9]+)', '\3-\2-\1')" for x in ("-", "/", "[.]"))
+    return rf"""lower({v}) NOT IN ({_PH}) AND try_cast(CASE WHEN regexp_full_match({v}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN {v} {last}
+        WHEN regexp_full_match({v}, '[0-9]{{4}}/[0-9]{{1,2}}/[0-9]{{1,2}}') THEN replace({v}, '/', '-') WHEN regexp_full_match(lower({v}), '{dn}') THEN {g(dn, 3)} || '-' || {_MNO(g(dn, 2))} || '-' || {g(dn, 1)}
+        WHEN regexp_full_match(lower({v}), '{nd}') THEN {g(nd, 3)} || '-' || {_MNO(g(nd, 1))} || '-' || {g(nd, 2)}
+        WHEN regexp_full_match({v}, '[0-9]{{8}}') THEN left({v}, 4) || '-' || substr({v}, 5, 2) || '-' || right({v}, 2) END AS DATE) IS NULL"""
+
+
+ORACLE = {
+    "p5_found": rf"""WITH l AS (SELECT line_id, sep, regexp_replace(coalesce(raw, ''), '\r$', '') AS r FROM raw_lines),
+        p AS (SELECT line_id, {_FINE} AS fine, {_SPLIT} AS f FROM l), g AS (SELECT * FROM p WHERE fine AND len(f) = 12)
+        SELECT line_id, 'quoting' AS reason FROM p WHERE NOT fine UNION ALL SELECT line_id, 'column_count' FROM p WHERE fine AND len(f) <> 12
+        UNION ALL SELECT line_id, 'sanction_amount' FROM g WHERE {_no_amount(_OF(5))} UNION ALL SELECT line_id, 'amount_spent' FROM g WHERE {_no_amount(_OF(6))}
+        UNION ALL SELECT line_id, 'date_approval' FROM g WHERE {_no_date(_OF(8))}""",
+}
