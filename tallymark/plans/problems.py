@@ -69,3 +69,33 @@ ORACLE = {
         UNION ALL SELECT line_id, 'sanction_amount' FROM g WHERE {_no_amount(_OF(5))} UNION ALL SELECT line_id, 'amount_spent' FROM g WHERE {_no_amount(_OF(6))}
         UNION ALL SELECT line_id, 'date_approval' FROM g WHERE {_no_date(_OF(8))}""",
 }
+
+
+def _moments_sql() -> str:
+    cells = " UNION ALL ".join(f"SELECT record_id, '{c}' AS field, portal, trim({c}) AS x FROM synthetic_dataset WHERE {c} IS NOT NULL" for c in DATE_COLUMNS)
+    g = lambda p, i: f"regexp_extract(v, '{p}', {i})"
+    iso, num, named, mon, compact = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(.*)$", r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})(.*)$", r"^(\d{1,2})[\s-]([A-Za-z]+)[\s-](\d{4})(.*)$", r"^([A-Za-z]+)\s+(\d{1,2}),\s+(\d{4})(.*)$", r"^(\d{4})(\d{2})(\d{2})(T.*)?$"
+    month = lambda p, i: f"CASE WHEN regexp_full_match(lower({g(p, i)}), '{_MON}') THEN {_MNO(f'lower({g(p, i)})')} END"
+    part = lambda a, b, c, d, e: f"CASE WHEN regexp_matches(v, '{iso}') THEN {a} WHEN regexp_matches(v, '{num}') THEN {b} WHEN regexp_matches(v, '{named}') THEN {c} WHEN regexp_matches(v, '{mon}') THEN {d} WHEN regexp_matches(v, '{compact}') THEN {e} END"
+    # within dates ending in the year the portal's order holds
+    day = part(g(iso, 3), f"CASE date_order WHEN 'MDY' THEN {g(num, 2)} ELSE {g(num, 1)} END", g(named, 1), g(mon, 2), g(compact, 3))
+    mo = part(g(iso, 2), f"CASE date_order WHEN 'MDY' THEN {g(num, 1)} ELSE {g(num, 2)} END", f"CAST({month(named, 2)} AS VARCHAR)", f"CAST({month(mon, 1)} AS VARCHAR)", g(compact, 2))
+    rest = r"^(?:(?:T|,?\s+)(\d{1,2}):?(\d{2})(?::?(\d{2})(?:[.](\d{1,6}))?)?(?:\s*([AaPp])[Mm]\b)?)?\s*((?:UTC|GMT)?[+-]\d{1,2}:?(?:\d{2})?|[A-Z]+|[A-Za-z]+/[A-Za-z_]+)?$"
+    r = lambda i: f"regexp_extract(w, '{rest}', {i})"
+    names = " ".join(f"WHEN '{k.upper()}' THEN {m}" for k, m in moments.ZONES.items())
+    off = r"(?:UTC|GMT)?([+-])(\d{1,2}):?(\d{2})?"
+    o = lambda i: f"regexp_extract(z, '{off}', {i})"
+    return rf"""WITH c AS (SELECT record_id, field, x, regexp_replace(x, '^(Mon|Tue|Wed|Thu|Fri|Sat|Sun),\s+', '') AS v, tz, date_order FROM ({cells}) JOIN portals USING (portal)),
+        s AS (SELECT *, {part(g(iso, 1), g(num, 3), g(named, 3), g(mon, 3), g(compact, 1))} AS y, {mo} AS m, {day} AS d, {part(g(iso, 4), g(num, 4), g(named, 4), g(mon, 4), g(compact, 4))} AS w FROM c),
+        t AS (SELECT *, CASE WHEN regexp_full_match(x, '[0-9]{{5}}') THEN DATE '1899-12-30' + x::INT ELSE try_cast(y || '-' || m || '-' || d AS DATE) END AS day, coalesce(w, '') AS w2 FROM s),
+        u AS (SELECT record_id, field, x, tz, day, {r(6)} AS z, coalesce(try_cast({r(1)} AS INT), 0) AS h0, coalesce(try_cast({r(2)} AS INT), 0) AS mi, coalesce(try_cast({r(3)} AS INT), 0) AS sec,
+            rpad({r(4)}, 6, '0')::BIGINT AS us, lower({r(5)}) AS ap FROM (SELECT * REPLACE (w2 AS w) FROM t) WHERE day IS NOT NULL AND regexp_matches(w, '{rest}')),
+        h AS (SELECT *, CASE ap WHEN '' THEN h0 ELSE h0 % 12 + CASE ap WHEN 'p' THEN 12 ELSE 0 END END AS hh FROM u WHERE mi < 60 AND sec < 60 AND CASE ap WHEN '' THEN h0 < 24 ELSE h0 BETWEEN 1 AND 12 END),
+        l AS (SELECT record_id, field, z, us, day + to_hours(hh) + to_minutes(mi) + to_seconds(sec) AS ts, CASE WHEN z = '' THEN tz WHEN contains(z, '/') THEN z END AS zone,
+            CASE WHEN regexp_full_match(z, '{off}') THEN CASE {o(1)} WHEN '-' THEN -1 ELSE 1 END * ({o(2)}::INT * 60 + coalesce(try_cast({o(3)} AS INT), 0)) ELSE CASE z {names} END END AS east FROM h),
+        k AS (SELECT *, CASE WHEN zone IS NOT NULL THEN timezone(zone, ts) END AS utc FROM l WHERE zone IS NOT NULL OR east IS NOT NULL)
+        SELECT record_id, field, us + CASE WHEN zone IS NULL THEN epoch_us(ts) - east::BIGINT * 60000000 WHEN timezone(zone, utc - INTERVAL 1 HOUR) = ts THEN epoch_us(utc) - 3600000000 ELSE epoch_us(utc) END AS utc_us FROM k
+        UNION ALL SELECT record_id, field, x::BIGINT * CASE length(x) WHEN 13 THEN 1000 ELSE 1000000 END FROM c WHERE regexp_full_match(x, '[0-9]{{10}}|[0-9]{{13}}')"""
+
+
+ORACLE["p6_found"] = _moments_sql()
