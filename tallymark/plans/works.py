@@ -381,7 +381,14 @@ _SUFFIX, _PREFIX, _NOBODY = "|".join(sorted(text.VENDOR_SUFFIXES, key=len, rever
 _V0 = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(vendor_name)), '\s*&\s*', ' and ', 'g'), '\bpvt\b', ' private ', 'g'), '\bltd\b', ' limited ', 'g'), '[^a-z0-9ऀ-ॿ ]+', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-@query()
+_V1 = rf"""trim(regexp_replace(replace(replace(replace(regexp_replace(' ' || replace({_V0}, ' ', '  ') || ' ', ' ([a-z]) ', '<\1>', 'g'), '><', ''), '<', ' '), '>', ' '), '\s+', ' ', 'g'))"""
+_V2 = rf"trim(regexp_replace(regexp_replace({_V1}, '^(?:(?:{_PREFIX})(?: |$))+', ''), '(?:(?:^| )(?:{_SUFFIX}))+$', ''))"
+
+
+@query(f"""WITH v AS (SELECT record_id, {_V2} AS k FROM synthetic_dataset), n AS (SELECT record_id, CASE WHEN k NOT IN ({_NOBODY}) AND length(k) >= 3 THEN k END AS k FROM v),
+    f AS (SELECT k, min(record_id) AS first, count(*) AS size FROM n WHERE k IS NOT NULL GROUP BY k)
+    SELECT record_id, k AS vendor_normalised, CASE WHEN first IS NOT NULL THEN 'VE-' || lpad(first::VARCHAR, 9, '0') ELSE 'VE-UNRESOLVED-' || lpad(record_id::VARCHAR, 9, '0') END AS vendor_entity,
+    coalesce(size, 1) AS group_size FROM n LEFT JOIN f USING (k)""")
 def vendor_entities(spark, sf_dir):
     return matching.vendor_entities(works(spark, sf_dir))
 
