@@ -323,8 +323,19 @@ def vocabulary_drift(spark, sf_dir):
     return duplicates.drift(texts, vocabulary, "text").select(*[F.round(c, 7).alias(c) for c in ("unseen_distinct", "unseen_weighted")])
 
 
-@query()
+_STOP_FULL = ", ".join(f"'{x}'" for x in (*text.BOILERPLATE, *text.LOCALITY, ""))
+_FULL_TEXT = f"array_to_string(list_filter(string_split(regexp_replace(coalesce(work_name, ''), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: t NOT IN ({_STOP_FULL})), ' ')"
+
+
+@query(f"""WITH {CLEAN}, k0 AS (SELECT record_id, district, date_approval AS day, {_FULL_TEXT} AS ktext FROM clean), {_TERMS},
+    x AS (SELECT record_id, district, day, term, weight FROM k0 JOIN vec ON ktext = t WHERE district IS NOT NULL AND day IS NOT NULL),
+    p AS (SELECT a.record_id AS a, b.record_id AS b, sum(a.weight * b.weight) AS c, any_value(abs(a.day - b.day)) AS days FROM x a JOIN x b ON a.district = b.district AND a.term = b.term AND a.record_id < b.record_id GROUP BY 1, 2)
+    SELECT a, b, round(c, 6) AS cosine, round(c * exp(-days / 180), 6) AS score FROM p WHERE c * exp(-days / 180) >= 0.85""")
 def duplicate_scores(spark, sf_dir):
+    return _duplicate_scores(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("cosine", "score")})
+
+
+def _duplicate_scores(spark, sf_dir):
     rows = cleaned(spark, sf_dir).select("record_id", "district", text.work_text(F.col("work_name"), keep_digits=True, delimiters=()).alias("text"), "date_approval")
     return duplicates.block_scores(materialize(rows, "texts"), ["district"], "text", "date_approval")
 
@@ -481,7 +492,7 @@ def fuzzy_firms(spark, sf_dir):
 
 @query()
 def duplicate_groups(spark, sf_dir):
-    return groups.components(duplicate_scores(spark, sf_dir))
+    return groups.components(_duplicate_scores(spark, sf_dir))
 
 
 @query()
