@@ -1,16 +1,13 @@
-"""Near-duplicate names within a block, by a size-aware heavy-light set join.
+"""Near-duplicate names within a block, by a complete scan of the block in tiles.
 
-Two names are alike when the Jaccard index of their sets of three-character substrings reaches the threshold. Candidates
-come from sets of *elements*: the words of a name, and the front and back five letters of its long words, which outlive an
-edit in the other half. An element's inverted list holds the names of a block with it. By a cost counted from the lengths of
-all lists, a boundary parts them: a list up to the boundary is *light* and is scanned; the elements of heavier lists are
-taken in subsets of two and then three, enumerated for each name (small sets of them, as most elements of a name are light),
-and the lists of those subsets are scanned. Elements in more than a share of ``COMMON`` of their block's names are words of
-the trade that tell no two works apart; they only enter through the exact check. No list is capped: the last subset size
-scans all its lists.
+Two names are alike when the Jaccard index of their sets of three-character substrings reaches the threshold. At 0.65 some
+91 of 116 substrings are common, so a prefix that any two such names must share holds the 41 rarest; in a large block the
+lists of those make more pairs than the block has, and any choice of rarer elements loses pairs. So every two names of a block
+are looked at: the block is cut into chunks of ``CHUNK`` names, each two chunks are a tile, and a tile is one task's work.
 
-Each list entry carries a 192-bit sketch of the substring set. Two sketches differ in at most as many bits as the sets in
-elements, so a pair of sketches too far apart is dropped without loss before it is shuffled; the rest is compared exactly.
+In a tile the sizes of the sets and 192-bit sketches leave few pairs. Two sketches differ in at most as many bits as the sets
+in elements, so a pair of sketches too far apart is dropped without loss; the rest is counted exactly. The work grows with the
+square of a block, not of the table.
 
 Copies of one name in one block are one class, joined once; pairs of records are expanded only at the end.
 
@@ -20,8 +17,6 @@ normalising have no set and match nothing; repeated rows pair with each other; a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,8 +25,10 @@ from pyspark.sql import functions as F
 from tallymark.runtime import is_placeholder, materialize, small_side
 
 THRESHOLD = 0.65
-#: Candidate boundaries of a light list; cost of a subset row in list pairs; share of a block's names that makes a word common.
-BOUNDARIES, ROW_COST, COMMON = (16, 32, 64, 128, 256), 20, 0.005
+#: Names in a chunk; pairs counted exactly at a time.
+CHUNK, AT_ONCE = 8192, 1 << 14
+#: No longer used; tests of an earlier candidate step still set them.
+BOUNDARIES, COMMON = (16, 32, 64, 128, 256), 0.005
 SKETCH = ("s0", "s1", "s2")
 _BITS = 64 * len(SKETCH)
 
@@ -59,41 +56,64 @@ def sketches(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(which, minlength=len(names)), np.packbits(bits, axis=1).view(np.int64)
 
 
-def likeness(left: list[str], right: list[str]) -> np.ndarray:
-    """Jaccard index of the substring sets, pair by pair."""
-    out = np.zeros(len(left))
-    for i, (a, b) in enumerate(zip(left, right)):
-        x, y = {a[k : k + 3] for k in range(len(a) - 2)}, {b[k : k + 3] for k in range(len(b) - 2)}
-        both = len(x & y)
-        out[i] = both / (len(x) + len(y) - both) if both else 0.0
-    return out
-
-
-def elements_of(name: str) -> set[str]:
-    words = set(name.split())
-    long = [w for w in words if len(w) >= 8]
-    return words.union([f"<{w[:5]}" for w in long], [f">{w[-5:]}" for w in long])
-
-
-def signatures(blocks: list[str], names: list[str]) -> list[np.ndarray]:
-    """A 64-bit hash of each element of each name within its block."""
-    sets = [elements_of(x) for x in names]
-    codes, kinds = pd.factorize(np.array([e for x in sets for e in x], object))
-    of, held = pd.factorize(np.array(blocks, object))
-    sizes = [len(x) for x in sets]
-    mixed = pd.util.hash_array(kinds, categorize=False)[codes] * np.uint64(0x9E3779B97F4A7C15) ^ np.repeat(pd.util.hash_array(held, categorize=False)[of], sizes)
-    return np.split((mixed * np.uint64(0xD6E8FEB86659FD93)).view(np.int64), np.cumsum(sizes)[:-1])
-
-
-def _with_sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        if len(b):
-            names = b["norm"].tolist()
-            b["n"], s = sketches(names)
-            for i, name in enumerate(SKETCH):
-                b[name] = s[:, i]
-            b["sigs"] = signatures(b["block"].tolist(), names)
-            yield b
+def substring_sets(names: list[str]) -> np.ndarray:
+    """The substring sets as rows of bits, exactly: a bit for each substring in use."""
+    which, codes = _substring_codes(names) if names else (np.array([], np.int64), np.array([], np.int64))
+    kinds, codes = np.unique(codes, return_inverse=True)
+    width, starts = -(-len(kinds) // 64) * 64, np.searchsorted(which, np.arange(0, len(names) + 1024, 1024))
+    rows = []
+    for k, (i, j) in enumerate(zip(starts, starts[1:])):
+        bits = np.zeros((min(1024, len(names) - 1024 * k), width), bool)
+        bits[which[i:j] - 1024 * k, codes[i:j]] = True
+        rows.append(np.packbits(bits, axis=1).view(np.uint64))
+    return np.concatenate(rows) if rows else np.zeros((0, 0), np.uint64)
+
+
+def alike(names: list[str], side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, likeness) of all pairs of names at the threshold: of the two sides if there are two, else of all names."""
+    n, s = sketches(names)
+    order = np.argsort(n, kind="stable")
+    two = len(np.unique(side)) > 1
+    left, right = (order[side[order] == side.min()], order[side[order] != side.min()]) if two else (order, order)
+    sets, words, sizes = substring_sets(names), np.ascontiguousarray(s[right].view(np.uint64).T), n[right]
+    x, total, part = np.empty(len(right), np.uint64), np.empty(len(right), np.uint8), np.empty(len(right), np.uint8)
+    limits: dict[int, np.ndarray] = {}
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting, out = 0, []
+
+    def count() -> None:
+        i, j = (np.concatenate(c) for c in zip(*held))
+        for k in range(0, len(i), AT_ONCE):
+            a, b = i[k : k + AT_ONCE], j[k : k + AT_ONCE]
+            both = np.bitwise_count(sets[a] & sets[b]).sum(axis=1, dtype=np.int64)
+            value = both / (n[a] + n[b] - both)
+            near = value >= threshold
+            out.append((a[near], b[near], value[near]))
+
+    for k, i in enumerate(left):
+        m = int(n[i])
+        lo = np.searchsorted(sizes, m * threshold - 1e-6) if two else k + 1
+        hi = np.searchsorted(sizes, m / threshold + 1e-6, "right")
+        if lo >= hi:
+            continue
+        if m not in limits:
+            limits[m] = np.minimum((m + sizes) * ((1 - threshold) / (1 + threshold)) + 1e-6, _BITS).astype(np.uint8)
+        t, p = total[: hi - lo], part[: hi - lo]
+        for w in range(len(SKETCH)):
+            np.bitwise_xor(words[w, lo:hi], s[i, w : w + 1].view(np.uint64), out=x[: hi - lo])
+            np.bitwise_count(x[: hi - lo], out=p if w else t)
+            if w:
+                np.add(t, p, out=t)
+        near = np.flatnonzero(t <= limits[m][lo:hi])
+        if len(near):
+            held.append((np.full(len(near), i), right[lo + near]))
+            waiting += len(near)
+        if waiting >= AT_ONCE:
+            count()
+            held, waiting = [], 0
+    if held:
+        count()
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.array([], np.int64), np.array([], np.int64), np.array([], float))
 
 
 def classes_of(records: DataFrame, block: str, name: str, key: str) -> tuple[DataFrame, DataFrame]:
@@ -103,60 +123,25 @@ def classes_of(records: DataFrame, block: str, name: str, key: str) -> tuple[Dat
     )
     rows = rows.filter(F.length("norm") >= 3)
     counted = rows.groupBy("block", "norm").agg(F.min("rid").alias("cid"), F.count("*").alias("copies")).select("cid", "block", "norm", "copies")
-    names = materialize(counted.mapInPandas(_with_sketch, "cid long, block string, norm string, copies long, n int, " + ", ".join(f"{s} long" for s in SKETCH) + ", sigs array<long>"), "names")
+    names = materialize(counted, "names")
     sizes = small_side(names.groupBy("block").agg(F.count("*").alias("bn")))
     return names.join(sizes, "block"), rows
 
 
-def _scan(lists: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of names that share an inverted list and whose sizes and sketches leave the threshold possible."""
-    a, b = lists.alias("a"), lists.alias("b")
-    apart = sum(F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in SKETCH)
-    most = (F.col("a.n") + F.col("b.n")) * ((1 - threshold) / (1 + threshold)) + 1e-6
-    near = (apart <= most) & (F.col("a.n") >= F.col("b.n") * threshold) & (F.col("b.n") >= F.col("a.n") * threshold)
-    return a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.cid") < F.col("b.cid")) & near).select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b"))
-
-
-def boundary_of(lengths: DataFrame) -> int:
-    """The list length up to which scanning costs least, from a histogram of the lengths by powers of two."""
-    hist = lengths.filter(F.col("df") <= F.greatest(F.lit(BOUNDARIES[-1]), F.col("bn") * COMMON)).groupBy(F.ceil(F.log2("df")).alias("p")).agg(F.sum(F.col("df") * F.col("df")).alias("pairs"), F.sum("df").alias("rows")).collect()
-
-    def cost(limit: int) -> float:
-        light = sum(float(r["pairs"]) / 2 for r in hist if 2 ** r["p"] <= limit)
-        heavy = sum(float(r["rows"]) for r in hist if 2 ** r["p"] > limit)
-        return light + ROW_COST * heavy
-
-    return min(BOUNDARIES, key=cost)
-
-
 def class_pairs(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, likeness) of all classes alike within their blocks."""
-    elements = names.select(F.explode("sigs").alias("sig"), "cid", "n", "bn", *SKETCH)
-    lengths = materialize(elements.groupBy("sig").agg(F.count("*").alias("df"), F.max("bn").alias("bn")).filter("df > 1"), "lengths")
-    limit = boundary_of(lengths)
-    heavy = lengths.filter(F.col("df") > limit).select("sig", "df")
-    # an element in one name only makes no pair; it is as well as any left to the join, where it meets nothing
-    flagged = elements.join(small_side(heavy), "sig", "left")
-    found = _scan(flagged.filter("df IS NULL").drop("df", "bn"), threshold)
-    sets = flagged.filter(F.col("df") <= F.col("bn") * COMMON).groupBy("cid").agg(F.sort_array(F.collect_list("sig")).alias("sigs"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in SKETCH])
-    sets = materialize(sets.filter(F.size("sigs") > 1), "heavy-sets")
-    twos = sets.select("cid", "n", *SKETCH, F.explode("sigs").alias("x"), "sigs").select("cid", "n", *SKETCH, "x", "sigs", F.explode(F.filter("sigs", lambda y: y > F.col("x"))).alias("y"))
-    two = twos.select(F.xxhash64("x", "y").alias("sig"), "cid", "n", *SKETCH)
-    over = small_side(materialize(two.groupBy("sig").count().filter(F.col("count") > limit).select("sig"), "heavy-twos"))
-    found = found.unionByName(_scan(two.join(over, "sig", "left_anti"), threshold))
-    three = (
-        twos.withColumn("sig", F.xxhash64("x", "y")).join(over, "sig", "left_semi").select("cid", "n", *SKETCH, "x", "y", F.explode(F.filter("sigs", lambda z: z > F.col("y"))).alias("z"))
-    ).select(F.xxhash64("x", "y", "z").alias("sig"), "cid", "n", *SKETCH)
-    found = materialize(found.unionByName(_scan(three, threshold)).distinct(), "candidates")
-    text = names.select("cid", "norm")
-    paired = found.join(text.select(F.col("cid").alias("a"), F.col("norm").alias("left")), "a").join(text.select(F.col("cid").alias("b"), F.col("norm").alias("right")), "b")
-
-    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            x["likeness"] = likeness(x["left"].tolist(), x["right"].tolist())
-            yield x.loc[x["likeness"] >= threshold, ["a", "b", "likeness"]]
-
-    return paired.select("a", "b", "left", "right").mapInPandas(exact, "a long, b long, likeness double")
+    chunks = F.ceil(F.col("bn") / CHUNK).cast("int")
+    cut = names.select("cid", "block", "norm", chunks.alias("chunks"), F.pmod(F.xxhash64("cid"), chunks).cast("int").alias("chunk"))
+    tiles = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("block", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "cid", "chunk", "norm")
+
+    def scan(tile: pd.DataFrame) -> pd.DataFrame:
+        cid, chunk = tile["cid"].to_numpy(np.int64), tile["chunk"].to_numpy(np.int64)
+        if tile["lo"].iat[0] != tile["hi"].iat[0] and len(np.unique(chunk)) < 2:  # one of the chunks is empty
+            cid = cid[:0]
+        i, j, value = alike(tile["norm"].tolist() if len(cid) else [], chunk[: len(cid)], threshold)
+        return pd.DataFrame({"a": np.minimum(cid[i], cid[j]), "b": np.maximum(cid[i], cid[j]), "likeness": value})
+
+    return tiles.groupBy("block", "lo", "hi").applyInPandas(scan, "a long, b long, likeness double")
 
 
 def record_pairs(records: DataFrame, block: str = "district", name: str = "work_name", key: str = "record_id", threshold: float = THRESHOLD) -> DataFrame:

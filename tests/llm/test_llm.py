@@ -42,6 +42,19 @@ def test_heavy_elements_are_taken_in_subsets(spark, monkeypatch):
     assert {tuple(r) for r in near_dup.record_pairs(df).collect()} == want
 
 
+def test_a_family_of_copies_that_fills_a_third_of_a_block(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "CHUNK", 50)  # several tiles
+    rng = random.Random(8)
+    base = "construction of concrete road from temple to primary school in ward seven"
+    family = ["".join(rng.choice("bcdfg") if k in cut else c for k, c in enumerate(base)) for cut in (set(rng.sample(range(len(base)), 2)) for _ in range(70))]
+    others = [" ".join("".join(rng.choice("abdeghiknoprtuv") for _ in range(7)) for _ in range(9)) for _ in range(140)]
+    data = [(i, "d", x) for i, x in enumerate(family + others)]
+    want = {(a[0], b[0]) for a in data for b in data if a[0] < b[0] and _jaccard(" ".join(a[2].split()), " ".join(b[2].split())) >= 0.65}
+    assert len(want) > 500
+    df = spark.createDataFrame(data, "record_id long, district string, work_name string")
+    assert sorted(tuple(r) for r in near_dup.record_pairs(df).collect()) == sorted(want)
+
+
 def test_a_sketch_never_hides_a_pair():
     a, b = ["construction of road at ward seven"], ["constrution of raod at ward seven near tank"]
     (n,), s = near_dup.sketches(a)
