@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymark.functions import dates, text
-from tallymark.operators import anomaly, cleaning, confidence, matching, quantile, screens
+from tallymark.operators import anomaly, cleaning, confidence, duplicates, matching, quantile, screens
 from tests.conftest import rows
 
 BASE = {
@@ -130,3 +130,23 @@ def test_vendor_entities(spark):
     got = {r.record_id: (r.vendor_entity, r.group_size) for r in matching.vendor_entities(df).collect()}
     assert got[1] == got[3] == ("VE-000000001", 2) and got[2][0] == "VE-UNRESOLVED-000000002" and got[4][1] == 1
     assert rows(matching.vendor_entities(df.limit(0))) == []
+
+
+def test_duplicate_scores_of_words_in_more_than_fifty_records(spark):
+    rng = np.random.default_rng(6)
+    pool = ["tank", "well", "school", "road", "drain"]
+    texts = ["tank near school"] * 60 + [" ".join(rng.permutation(pool)[: rng.integers(1, 6)]) for _ in range(120)] + ["", None]
+    data = [(i, "d" if i % 7 else "e", t, dt.date(2020, 1, 1) + dt.timedelta(int(rng.integers(0, 90)))) for i, t in enumerate(texts)] + [(990, None, "tank", dt.date(2020, 1, 1)), (991, "d", "tank", None)]
+    df = spark.createDataFrame(data, "record_id long, district string, text string, day date")
+    v = {}
+    for r in duplicates.tfidf(df, "text").collect():
+        v.setdefault(r.text, {})[r.term] = r.weight
+    want = {}
+    for a in data:
+        for b in data:
+            if a[0] < b[0] and a[1] and a[1] == b[1] and a[2] and b[2] and a[3] and b[3]:
+                s = sum(w * v[b[2]].get(t, 0) for t, w in v[a[2]].items()) * np.exp(-abs((a[3] - b[3]).days) / 180)
+                if s >= 0.85:
+                    want[a[0], b[0]] = s
+    got = duplicates.block_scores(df, ["district"], "text", "day").collect()
+    assert len(got) == len(want) > 500 and {(r.a, r.b): r.score for r in got} == pytest.approx(want)
