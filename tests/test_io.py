@@ -86,6 +86,38 @@ def test_fuzzy_firms(spark):
     assert rows(entities.fuzzy_firms(df)) == [("sharma buildars pune", "sharma buildars pune"), ("sharma builders pune", "sharma buildars pune")]
 
 
+def _deliveries(spark, data):
+    import datetime as dt
+
+    rows = [(i, n, c, "pune", "pwd", dt.date(2021, 5, 1)) for i, (n, c) in enumerate(data)]
+    return spark.createDataFrame(rows, "record_id long, work_name string, sanction_amount double, district string, implementing_agency string, date_approval date").selectExpr("*", "date_approval as date_proposal", "date_approval as date_completion")
+
+
+def test_work_entities_of_more_than_fifty_deliveries(spark):
+    names = [f"cc road at ward {i % 4} near tank" for i in range(70)] + ["zilla hospital boundary wall"] * 60
+    got = [r.group_size for r in entities.work_entities(_deliveries(spark, [(n, 100.0 + i % 3) for i, n in enumerate(names)])).orderBy("record_id").collect()]
+    assert got == [70] * 70 + [60] * 60
+
+
+def test_fuzzy_firms_against_brute_force(spark, monkeypatch):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(1)
+    base = ["sharma construction company pune"] + [f"s{rng.choice('aeiou')}{rng.randrange(10**6)} construction company" for _ in range(220)]
+    names = sorted({*base, *(b.replace("c", "k", 1) for b in base[:40])})
+    want = {(a, b) for a in names for b in names if a < b and SequenceMatcher(None, a, b).ratio() >= 0.92}
+    head = {n: n for n in names}
+    for _ in range(len(names)):
+        for a, b in want:
+            head[a] = head[b] = min(head[a], head[b])
+    paired = {x for p in want for x in p}
+    df = spark.createDataFrame([(n,) for n in names], "vendor_normalised string")
+    for chunk in (4096, 60):
+        monkeypatch.setattr(entities, "CHUNK", chunk, raising=False)
+        assert dict(rows(entities.fuzzy_firms(df))) == {n: head[n] for n in paired}
+
+
 def test_agreement_weights(spark):
     import random
 
