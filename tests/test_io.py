@@ -99,6 +99,12 @@ def test_work_entities_of_more_than_fifty_deliveries(spark):
     assert got == [70] * 70 + [60] * 60
 
 
+def test_work_entities_look_at_all_names_of_a_group(spark):
+    chain = ["pqrs tuvw xyza bcde fghi jklm nopq", "pqrs tuvw xyza bcde fghi", "xyza bcde fghi jklm nopq"]
+    got = entities.work_entities(_deliveries(spark, [(n, 100.0) for n in chain])).collect()
+    assert {(r.group_size, r.consistency, tuple(r.conflicting)) for r in got} == {(3, "CONFLICTING", ("work_name",))}
+
+
 def test_fuzzy_firms_against_brute_force(spark, monkeypatch):
     import random
     from difflib import SequenceMatcher
