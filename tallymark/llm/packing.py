@@ -151,7 +151,10 @@ def pack(sizes: DataFrame, capacity: int, doc: str = "doc_id", per_part: int = P
 def pack_all(sizes: DataFrame, containers: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(container, capacity, doc, piece, tokens, bin) for each container of a small table of capacities."""
     out = None
-    for row in containers.filter(F.col("capacity_tokens") > 0).orderBy("container").limit(1000).collect():
+    sizes_wanted = containers.filter(F.col("capacity_tokens") > 0).orderBy("container").limit(1001).collect()
+    if len(sizes_wanted) > 1000:
+        raise ValueError("more than 1,000 containers")
+    for row in sizes_wanted:
         part = pack(sizes, int(row["capacity_tokens"]), doc).select(F.lit(row["container"]).alias("container"), F.lit(int(row["capacity_tokens"])).alias("capacity"), doc, "piece", "tokens", "bin")
         out = part if out is None else out.unionByName(part)
     if out is None:

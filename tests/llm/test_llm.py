@@ -229,3 +229,10 @@ def test_single_byte_swaps_need_neighbours(spark):
     data = [(i, f"Lot {i}. {line}") for i in range(400)] + [(900, line.encode("cp1252").decode("mac_roman")), (901, "Les pièces. " + line.encode("cp1252").decode("mac_roman"))]
     got = {r.doc_id: r.text for r in mojibake.mended(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert got.keys() == {900, 901} and got[900] == line
+
+
+def test_more_containers_than_the_bound_are_an_error(spark):
+    sizes = spark.createDataFrame([("x", 5)], "doc_id string, tokens long")
+    containers = spark.range(1001).selectExpr("cast(id as string) container", "10 capacity_tokens")
+    with pytest.raises(ValueError):
+        packing.pack_all(sizes, containers)
