@@ -58,17 +58,17 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "ut
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """csv, tsv, parquet or json lines, by the ending; text encodings are tried in turn on the first lines."""
+    """csv, tsv, parquet or json lines, by the ending; text encodings are tried in turn on the whole file."""
     low = path.lower().rstrip("/")
     if low.endswith((".parquet", ".pq")):
         return spark.read.parquet(path)
     if low.endswith((".json", ".jsonl")):
         return spark.read.json(path)
     if low.endswith((".csv", ".tsv")):
-        for encoding in ENCODINGS:
-            sample = spark.read.option("encoding", encoding).text(path).limit(1000)
-            if sample.filter(F.col("value").contains("�")).isEmpty():
-                break
+        lines = spark.read.text(path)  # bytes as they are in the file; this reader decodes nothing
+        unused = F.decode(F.col("value").cast("binary"), "ISO-8859-1").rlike("[\\x81\\x8d\\x8f\\x90\\x9d]")
+        wrong = dict(zip(ENCODINGS, (~F.is_valid_utf8("value"), unused, F.lit(False))))
+        encoding = next(e for e in ENCODINGS if lines.filter(wrong[e]).isEmpty())
         return read_csv(spark, path, "\t" if low.endswith(".tsv") else ",", encoding)[0]
     raise IngestionError(f"unknown kind of file: {path}")
 

@@ -62,6 +62,12 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     assert {k for k in batch if k[0] < last} <= set(streamed)  # the last window may still be open
 
 
+def test_encoding_is_decided_on_the_whole_file(spark, tmp_path):
+    path = tmp_path / "late.csv"
+    path.write_bytes(b"work_id,work_name\n" + b"1,road\n" * 1500 + "2,école\n".encode("cp1252"))
+    assert [r.work_name for r in io.read_any(spark, str(path)).filter("work_id = '2'").collect()] == ["école"]
+
+
 def test_components(spark):
     pairs = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (21, 21), (None, 1), (5, None), (1, 2), (30, 31), (31, 32), (32, 33), (33, 34), (34, 35)]
     got = dict(rows(groups.components(spark.createDataFrame(pairs, "a long, b long"))))
