@@ -15,7 +15,7 @@ from tallymark.operators.cleaning import FIELDS
 from tallymark.runtime import materialize
 
 CORRUPT = "_corrupt_record"
-ENCODINGS = ("utf-8", "cp1252", "latin-1")
+ENCODINGS = ("utf-8", "cp1252", "iso-8859-1")
 
 
 class IngestionError(ValueError):
@@ -69,7 +69,13 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
         unused = F.decode(F.col("value").cast("binary"), "ISO-8859-1").rlike("[\\x81\\x8d\\x8f\\x90\\x9d]")
         wrong = dict(zip(ENCODINGS, (~F.is_valid_utf8("value"), unused, F.lit(False))))
         encoding = next(e for e in ENCODINGS if lines.filter(wrong[e]).isEmpty())
-        return read_csv(spark, path, "\t" if low.endswith(".tsv") else ",", encoding)[0]
+        name = "spark.sql.legacy.javaCharsets"  # else Spark has no cp1252; read_csv has parsed the text when it returns
+        before = spark.conf.get(name)
+        spark.conf.set(name, "true")
+        try:
+            return read_csv(spark, path, "\t" if low.endswith(".tsv") else ",", encoding)[0]
+        finally:
+            spark.conf.set(name, before)
     raise IngestionError(f"unknown kind of file: {path}")
 
 
