@@ -7,8 +7,9 @@ any parts are put together by adding the counts of equal bins, in any order (``c
 ``select`` finds the value of a rank per group among weighted values. Each round, every partition proposes the weighted
 median of its values still in the race; the median of those, weighted by what they stand for, becomes the pivot; the values
 below, at and above it are counted; ranges that cannot hold the rank are ruled out. That repeats, for all groups and ranks at
-once, until the rank falls on a pivot or so few distinct values are left (``FINISH`` at most) that they are sorted. A group is
-never gathered; a round moves one row per partition, group and rank, and one row of counts.
+once, until the rank falls on a pivot or at most ``FINISH`` rows are left, which are sorted. No more than that is ever
+gathered; a round moves one row per partition, group and rank, and one row of counts. ``rounds`` lists the groups and ranks
+that went into each round.
 
 The rank of percentile q among n values is ceil(q * n / 100) (nearest rank). Over raw rows the result is exact; over a
 summary it lies in the bin of the exact value and thus within the relative error ``ERROR`` of it.
@@ -21,13 +22,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.runtime import materialize, small_side
+from tallymark.runtime import BROADCAST_ROWS, materialize
 
 ERROR = 0.001
-FINISH = 2_000
+#: Rows of a group that may be gathered and sorted.
+FINISH = 256
 
 
 def _values(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -50,56 +52,76 @@ def combine(summary: DataFrame) -> DataFrame:
     return summary.groupBy("g", "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
-def select(values: DataFrame, percents: Sequence[int], finish: int = FINISH) -> DataFrame:
+def _at_ranks(sorted_values: Column, ranks: Column) -> Column:
+    """Of (v, w) in order, the first value whose running weight reaches each rank."""
+    walk = lambda rank: F.aggregate(
+        sorted_values,
+        F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("v")),
+        lambda a, x: F.struct((a["seen"] + x["w"]).alias("seen"), F.when(a["v"].isNull() & (a["seen"] + x["w"] >= rank), x["v"]).otherwise(a["v"]).alias("v")),
+    )["v"]
+    return F.transform(ranks, walk)
+
+
+def select(values: DataFrame, percents: Sequence[int], finish: int = FINISH, rounds: list | None = None) -> DataFrame:
     """(g, total, percent, v) of weighted values (g, v, w): the value at rank ceil(percent * total / 100) of each group."""
     values = values.select("g", F.col("v").cast("double"), F.col("w").cast("long"))
-    totals = values.groupBy("g").agg(F.sum("w").alias("total"))
-    state = totals.select(
-        "g", "total", F.explode(F.array(*[F.lit(int(p)) for p in percents])).alias("percent"), F.lit(None).cast("double").alias("above"), F.lit(None).cast("double").alias("below")
-    ).withColumn("rank", F.greatest(F.lit(1), F.expr("(percent * total + 99) div 100")))
-    state = materialize(state, "select")
-    found = None
+    percents = [int(p) for p in percents]
+    totals = materialize(values.groupBy("g").agg(F.sum("w").alias("total"), F.count("*").alias("rows")), "totals")
+    wanted = F.array(*[F.lit(p) for p in percents])
+    rank_of = lambda p: F.greatest(F.lit(1).cast("long"), F.ceil((p * F.col("total")).cast("decimal(38,0)") / F.lit(100)).cast("long"))
+    large = totals.filter(F.col("rows") > finish)
+    n_large = large.count()
+    hinted = F.broadcast if n_large * len(percents) <= BROADCAST_ROWS else lambda df: df  # the sides below have at most so many rows
+    hot = hinted(large.select(F.col("g").alias("h")))
+    inside = F.col("g").eqNullSafe(F.col("h"))
+    # small groups: all ranks from one gathering
+    few = values.join(hot, inside, "left_anti").groupBy("g").agg(F.array_sort(F.collect_list(F.struct("v", "w"))).alias("xs"), F.sum("w").alias("total"))
+    ranked = few.select("g", "total", F.arrays_zip(wanted.alias("percent"), _at_ranks(F.col("xs"), F.transform(wanted, rank_of)).alias("v")).alias("z"))
+    found = ranked.select("g", "total", F.explode("z").alias("z")).select("g", "total", "z.percent", "z.v")
+    if not n_large:
+        return found
+    values = materialize(values.join(hot, inside, "left_semi"), "large")
+    state = large.select("g", "total", F.explode(wanted).alias("percent"), F.lit(None).cast("double").alias("above"), F.lit(None).cast("double").alias("below"))
+    state = state.withColumn("rank", rank_of(F.col("percent")))
+    keys = ["g", "percent", "total", "above", "below", "rank"]
     while True:
+        if rounds is not None:
+            rounds.append([(r["g"], r["percent"]) for r in state.select("g", "percent").limit(10_000).collect()])
         in_race = (F.col("s.above").isNull() | (F.col("x.v") > F.col("s.above"))) & (F.col("s.below").isNull() | (F.col("x.v") < F.col("s.below")))
-        race = values.alias("x").join(small_side(state).alias("s"), F.col("x.g").eqNullSafe(F.col("s.g")) & in_race).select("s.g", "s.percent", "s.total", "s.above", "s.below", "s.rank", "x.v", "x.w")
-        keys = ["g", "percent", "total", "above", "below", "rank"]
-        left = materialize(race.groupBy(keys).agg(F.count("*").alias("rows")), "race")
-        few = small_side(left.filter(F.col("rows") <= finish).drop("rows"))
-        # few values left: sort them, one group's at most ``finish`` values at a time
-        rest = race.join(few.select("g", "percent").alias("f"), race["g"].eqNullSafe(F.col("f.g")) & (race["percent"] == F.col("f.percent")), "left_semi")
-        sums = rest.groupBy(keys).agg(F.array_sort(F.collect_list(F.struct("v", "w"))).alias("xs"))
-        walk = F.aggregate(
-            "xs",
-            F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("v")),
-            lambda a, x: F.struct((a["seen"] + x["w"]).alias("seen"), F.when(a["v"].isNull() & (a["seen"] + x["w"] >= F.col("rank")), x["v"]).otherwise(a["v"]).alias("v")),
-        )
-        done = materialize(sums.select("g", "total", "percent", walk["v"].alias("v")), "selected")
-        found = done if found is None else found.unionByName(done)
-        many = left.filter(F.col("rows") > finish).drop("rows")
-        if many.isEmpty():
-            return found
-        many = small_side(many)
-        going = race.join(many.select("g", "percent").alias("f"), race["g"].eqNullSafe(F.col("f.g")) & (race["percent"] == F.col("f.percent")), "left_semi")
-        local = going.groupBy(*keys, F.spark_partition_id().alias("p")).agg(F.expr("percentile(v, 0.5, w)").alias("m"), F.sum("w").alias("w"))
-        pivots = materialize(local.groupBy(keys).agg(F.expr("percentile(m, 0.5, w)").alias("pivot")), "pivots")
-        held = small_side(pivots).select("g", "percent", "pivot").alias("f")
-        counted = going.join(held, going["g"].eqNullSafe(F.col("f.g")) & (going["percent"] == F.col("f.percent"))).select(*[going[c] for c in (*keys, "v", "w")], "f.pivot")
-        three = counted.groupBy(*keys, "pivot").agg(F.coalesce(F.sum(F.when(F.col("v") < F.col("pivot"), F.col("w"))), F.lit(0)).alias("under"), F.coalesce(F.sum(F.when(F.col("v") == F.col("pivot"), F.col("w"))), F.lit(0)).alias("at"))
+        race = values.alias("x").join(hinted(state).alias("s"), F.col("x.g").eqNullSafe(F.col("s.g")) & in_race).select("s.g", "s.percent", "s.total", "s.above", "s.below", "s.rank", "x.v", "x.w")
+        local = race.groupBy(*keys, F.spark_partition_id().alias("p")).agg(F.expr("percentile(v, 0.5, w)").alias("m"), F.sum("w").alias("w"))
+        # the middle of the proposals may lie between two values: then it rules out ranges all the same, and no value is at it
+        held = hinted(local.groupBy(keys).agg(F.expr("percentile(m, 0.5, w)").alias("pivot"))).alias("f")
+        here = F.col("x.g").eqNullSafe(F.col("f.g")) & (F.col("f.above").isNull() | (F.col("x.v") > F.col("f.above"))) & (F.col("f.below").isNull() | (F.col("x.v") < F.col("f.below")))
+        side = lambda test, c: F.coalesce(F.sum(F.when(test, c)), F.lit(0))
+        under, over, one = F.col("v") < F.col("pivot"), F.col("v") > F.col("pivot"), F.lit(1)
+        three = values.alias("x").join(held, here).select(*[f"f.{k}" for k in keys], "f.pivot", "x.v", "x.w").groupBy(*keys, "pivot").agg(
+            side(under, F.col("w")).alias("under"), side(F.col("v") == F.col("pivot"), F.col("w")).alias("at"), side(under, one).alias("rows_under"), side(over, one).alias("rows_over")
+        )
         three = materialize(three, "counts")
-        hit = three.filter("rank > under AND rank <= under + at").select("g", "total", "percent", F.col("pivot").alias("v"))
-        found = found.unionByName(hit)
+        found = found.unionByName(three.filter("rank > under AND rank <= under + at").select("g", "total", "percent", F.col("pivot").alias("v")))
         low, high = F.col("rank") <= F.col("under"), F.col("rank") > F.col("under") + F.col("at")
         state = three.filter(low | high).select(
             "g", "total", "percent", F.when(high, F.col("pivot")).otherwise(F.col("above")).alias("above"), F.when(low, F.col("pivot")).otherwise(F.col("below")).alias("below"),
-            F.when(high, F.col("rank") - F.col("under") - F.col("at")).otherwise(F.col("rank")).alias("rank"),
+            F.when(high, F.col("rank") - F.col("under") - F.col("at")).otherwise(F.col("rank")).alias("rank"), F.when(high, F.col("rows_over")).otherwise(F.col("rows_under")).alias("rows"),
         )
+        # few rows left: they are sorted, one rank's at most ``finish`` at a time
+        last = state.filter(F.col("rows") <= finish).drop("rows")
+        rest = values.alias("x").join(hinted(last).alias("s"), F.col("x.g").eqNullSafe(F.col("s.g")) & in_race).select("s.g", "s.percent", "s.total", "s.rank", "x.v", "x.w")
+        sums = rest.groupBy("g", "percent", "total", "rank").agg(F.array_sort(F.collect_list(F.struct("v", "w"))).alias("xs"))
+        found = found.unionByName(sums.select("g", "total", "percent", _at_ranks(F.col("xs"), F.array("rank"))[0].alias("v")))
+        state = state.filter(F.col("rows") > finish).drop("rows")
         if state.isEmpty():
             return found
 
 
-def percentiles(df: DataFrame, group: str, value: str, percents: Sequence[int] = (50, 90, 95, 99)) -> DataFrame:
-    """Exact (group, n, p..) over raw rows."""
-    return _wide(select(_values(df, group, value).withColumn("w", F.lit(1)), percents), group, percents)
+def percentiles(df: DataFrame, group: str | Sequence[str], value: str, percents: Sequence[int] = (50, 90, 95, 99)) -> DataFrame:
+    """Exact (group, n, p..) over raw rows; several group columns make one group each combination."""
+    if isinstance(group, str):
+        return _wide(select(_values(df, group, value).withColumn("w", F.lit(1)), percents), group, percents)
+    rows = df.select(F.struct(*group).alias("g"), F.col(value).alias("v"))
+    wide = _wide(select(_values(rows, "g", "v").withColumn("w", F.lit(1)), percents), "g", percents)
+    return wide.select(*[F.col("g")[c].alias(c) for c in group], *[c for c in wide.columns if c != "g"])
 
 
 def percentiles_of_summary(summary: DataFrame, group: str, percents: Sequence[int] = (50, 90, 95, 99)) -> DataFrame:

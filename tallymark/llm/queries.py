@@ -18,6 +18,11 @@ def _amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return works.select(F.lower(F.trim("district")).alias("district"), "sanction_amount", F.date_format("ingested_at", "yyyy-MM-dd").alias("day"))
 
 
+def p2_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The percentiles of each district and day of delivery."""
+    return quantiles.percentiles(_amounts(spark, sf_dir), ("district", "day"), "sanction_amount")
+
+
 def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From daily summaries, kept as a table and put together; within 0.1 per cent of the exact values."""
     daily = materialize(quantiles.summarise(_amounts(spark, sf_dir), "district", "sanction_amount", "day"), "daily")
@@ -28,6 +33,15 @@ def p2_percentiles_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.percentiles(_amounts(spark, sf_dir), "district", "sanction_amount")
 
 
+def p2_error_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each district's percentiles from summaries are within the stated error of the exact ones."""
+    near, exact = p2_percentiles(spark, sf_dir), p2_percentiles_exact(spark, sf_dir)
+    names = ("p50", "p90", "p95", "p99")
+    both = near.alias("a").join(exact.alias("b"), F.col("a.district").eqNullSafe(F.col("b.district")))
+    kept = [F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) <= quantiles.ERROR * F.abs(F.col(f"b.{c}")) * 1.000001 for c in names]
+    return both.select("a.district", (F.col("a.n") == F.col("b.n")).alias("same_n"), *[k.alias(f"{c}_kept") for k, c in zip(kept, names)])
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "synthetic_dataset", "record_id", "vendor_name", "implementing_agency")
     return names.link(records, table(spark, sf_dir, "entity_register"), {"vendor_name": "vendor", "implementing_agency": "agency"})
@@ -67,8 +81,10 @@ def p9_mended(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p2_daily": p2_daily,
     "p2_percentiles": p2_percentiles,
     "p2_percentiles_exact": p2_percentiles_exact,
+    "p2_error_kept": p2_error_kept,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p7_packing": p7_packing,
@@ -93,6 +109,18 @@ ORACLE = {
         m AS (SELECT c.c, r.record_id FROM r JOIN c USING (d, nm))
         SELECT least(x.record_id, y.record_id) AS record_a, greatest(x.record_id, y.record_id) AS record_b FROM near JOIN m x ON x.c = a JOIN m y ON y.c = b
         UNION ALL SELECT x.record_id, y.record_id FROM m x JOIN m y USING (c) WHERE x.record_id < y.record_id""",
+    "p2_daily": """
+        WITH r AS (
+            SELECT lower(trim(district)) AS district, strftime(ingested_at, '%Y-%m-%d') AS day, sanction_amount AS v, row_number() OVER w AS k,
+                count(*) OVER (PARTITION BY lower(trim(district)), strftime(ingested_at, '%Y-%m-%d')) AS n
+            FROM synthetic_dataset WHERE sanction_amount IS NOT NULL AND NOT isnan(sanction_amount)
+            WINDOW w AS (PARTITION BY lower(trim(district)), strftime(ingested_at, '%Y-%m-%d') ORDER BY sanction_amount))
+        SELECT district, day, max(n) AS n, max(CASE WHEN k = (50 * n + 99) // 100 THEN v END) AS p50, max(CASE WHEN k = (90 * n + 99) // 100 THEN v END) AS p90,
+            max(CASE WHEN k = (95 * n + 99) // 100 THEN v END) AS p95, max(CASE WHEN k = (99 * n + 99) // 100 THEN v END) AS p99
+        FROM r GROUP BY district, day""",
+    "p2_error_kept": """
+        SELECT DISTINCT lower(trim(district)) AS district, true AS same_n, true AS p50_kept, true AS p90_kept, true AS p95_kept, true AS p99_kept
+        FROM synthetic_dataset WHERE sanction_amount IS NOT NULL AND NOT isnan(sanction_amount)""",
     "p2_percentiles_exact": """
         WITH r AS (
             SELECT lower(trim(district)) AS district, sanction_amount AS v, row_number() OVER (PARTITION BY lower(trim(district)) ORDER BY sanction_amount) AS k,

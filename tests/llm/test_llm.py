@@ -81,6 +81,14 @@ def test_percentiles_exact_and_summarised(spark):
     assert quantiles.percentiles(df.limit(0), "g", "x").count() == 0
 
 
+def test_pivots_are_proposed_on_the_problems_own_data(spark):
+    rounds = []
+    amounts = queries._amounts(spark, "/root/testdata/sf0.1")
+    bins = quantiles.combine(quantiles.summarise(amounts, "district", "sanction_amount", "day"))
+    got = quantiles.select(bins.selectExpr("g", "hi v", "n w"), [50, 99], rounds=rounds)
+    assert len(rounds) >= 2 and len(rounds[0]) > len(rounds[-1]) and got.count() == 2 * bins.select("g").distinct().count()
+
+
 # ---- names
 REGISTER = [(1, "vendor", "Yitraivaal and Haakrikham Engineering Works", "Kachal"), (2, "vendor", "Chevruheebhai Sathiha Contractors", None), (3, "vendor", "Chevruheebhai Drokuzut Earthmovers", None),
             (4, "vendor", "Kotodrutaal Housing Developers LLP", None), (5, "agency", "Water Supply and Drainage Division, Bhishogaav", None), (6, "agency", "Zila Panchayat, Bhishogaav", None), (7, "agency", "Minor Irrigation Sub-Division at Bhishogaav", None)]
