@@ -1,13 +1,19 @@
-"""Near-duplicate names within a block, by a complete scan of the block in tiles.
+"""Near-duplicate names within a block, by a size-aware heavy-light join of their substring sets.
 
-Two names are alike when the Jaccard index of their sets of three-character substrings reaches the threshold. At 0.65 some
-91 of 116 substrings are common, so a prefix that any two such names must share holds the 41 rarest; in a large block the
-lists of those make more pairs than the block has, and any choice of rarer elements loses pairs. So every two names of a block
-are looked at: the block is cut into chunks of ``CHUNK`` names, each two chunks are a tile, and a tile is one task's work.
+Two names are alike when the Jaccard index of their sets of three-character substrings reaches the threshold t. A block is cut
+into chunks of ``CHUNK`` names; each two chunks are a tile, and a tile is one task's work (one tile for most blocks).
 
-In a tile the sizes of the sets and 192-bit sketches leave few pairs. Two sketches differ in at most as many bits as the sets
-in elements, so a pair of sketches too far apart is dropped without loss; the rest is counted exactly. The work grows with the
-square of a block, not of the table.
+Within a tile the substrings are ordered from the rarest to the most frequent. Sets x and y with |x| <= |y| that are alike have
+t / (1 + t) * (|x| + |y|) elements in common, so the first |x| - ceil(2 t / (1 + t) |x|) + 2 elements of x and the first
+|y| - ceil(t |y|) + 2 of y have two in common. *Small* sets therefore enumerate the subsets of two elements of that beginning
+and meet in them; *large* sets are held against the sets of all others, kept as bitmaps, in the range of sizes that can reach
+t. A set's subsets grow with the square of its size, a scan with the number of sets, so the boundary between small and large
+is the size at which the sum of both costs, in nanoseconds, is least (``boundary``). How often two sets meet in a subset is
+estimated on ``PROBE`` names of the tile; should it be so often that a scan is cheaper (large families of copies), all sets of
+the tile are scanned. Either way every pair is found; no list is capped and nothing is left out for being frequent.
+
+In both ways sizes and 192-bit sketches leave few pairs before the exact count. Two sketches differ in at most as many bits as
+the sets in elements, so a pair of sketches too far apart is dropped without loss.
 
 Copies of one name in one block are one class, joined once; pairs of records are expanded only at the end.
 
@@ -25,10 +31,11 @@ from pyspark.sql import functions as F
 from tallymark.runtime import is_placeholder, materialize, small_side
 
 THRESHOLD = 0.65
-#: Names in a chunk; pairs counted exactly at a time.
-CHUNK, AT_ONCE = 8192, 1 << 14
-#: No longer used; tests of an earlier candidate step still set them.
-BOUNDARIES, COMMON = (16, 32, 64, 128, 256), 0.005
+#: Names in a chunk; pairs counted exactly at a time; subsets held at a time.
+CHUNK, AT_ONCE, SUBSETS = 32_768, 1 << 14, 1 << 22
+#: Nanoseconds to scan one pair, to enumerate one subset, to look at one pair of sets in a subset, measured; and the names on
+#: which a tile's share of meeting pairs is estimated. They decide which way is taken, not what is found.
+SCAN_NS, SUBSET_NS, MEET_NS, PROBE = 5.0, 150.0, 40.0, 256
 SKETCH = ("s0", "s1", "s2")
 _BITS = 64 * len(SKETCH)
 
@@ -69,51 +76,162 @@ def substring_sets(names: list[str]) -> np.ndarray:
     return np.concatenate(rows) if rows else np.zeros((0, 0), np.uint64)
 
 
-def alike(names: list[str], side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, likeness) of all pairs of names at the threshold: of the two sides if there are two, else of all names."""
-    n, s = sketches(names)
-    order = np.argsort(n, kind="stable")
-    two = len(np.unique(side)) > 1
-    left, right = (order[side[order] == side.min()], order[side[order] != side.min()]) if two else (order, order)
-    sets, words, sizes = substring_sets(names), np.ascontiguousarray(s[right].view(np.uint64).T), n[right]
-    x, total, part = np.empty(len(right), np.uint64), np.empty(len(right), np.uint8), np.empty(len(right), np.uint8)
-    limits: dict[int, np.ndarray] = {}
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    waiting, out = 0, []
-
-    def count() -> None:
-        i, j = (np.concatenate(c) for c in zip(*held))
+def _beginnings(sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """How many of its rarest elements a set needs as the smaller and as the larger of two, to have two in common."""
+    need = lambda share: np.ceil(share * sizes - 1e-9).astype(np.int64)
+    return np.minimum(sizes - need(2 * threshold / (1 + threshold)) + 2, sizes), np.minimum(sizes - need(threshold) + 2, sizes)
+
+
+def boundary(sizes: np.ndarray, threshold: float, meeting: float) -> int:
+    """How many of the smallest sets are small, by the sum of costs; sizes ascend. meeting: common subsets per pair of sets."""
+    n = len(sizes)
+    long = _beginnings(sizes, threshold)[1]
+    light = np.concatenate([[0], np.cumsum(long * (long - 1) / 2 * SUBSET_NS)]) + meeting * np.arange(n + 1.0) ** 2 / 2 * MEET_NS
+    # a large set is scanned against all sets before it in size that can reach it
+    span = np.arange(n) - np.searchsorted(sizes, sizes * threshold - 1e-6)
+    heavy = np.concatenate([np.cumsum(span[::-1])[::-1] * SCAN_NS, [0]])
+    ends = np.concatenate([[0], np.flatnonzero(np.diff(sizes)) + 1, [n]]).astype(np.int64)
+    return int(ends[np.argmin(light[ends] + heavy[ends])])
+
+
+class Sets:
+    """The substring sets of a tile's names, ordered by size; left: which of them come from the first of two chunks."""
+
+    def __init__(self, names: list[str], side: np.ndarray, threshold: float):
+        n, s = sketches(names)
+        self.threshold, self.names = threshold, names
+        self.order = np.argsort(n, kind="stable")
+        self.sizes, self.words = n[self.order], np.ascontiguousarray(s[self.order].view(np.uint64).T)
+        self.left = side[self.order] == (side.min() if len(side) else 0)
+        self.two = bool(len(side)) and not self.left.all()
+        self._bitmaps: np.ndarray | None = None
+
+    def bitmaps(self) -> np.ndarray:
+        if self._bitmaps is None:
+            self._bitmaps = substring_sets([self.names[i] for i in self.order])
+        return self._bitmaps
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs the sizes and sketches leave."""
+        bits = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int16) for w in self.words)
+        return bits <= (self.sizes[i] + self.sizes[j]) * ((1 - self.threshold) / (1 + self.threshold)) + 1e-6
+
+    def count(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, likeness) of the pairs at the threshold, counted exactly."""
+        out, sets = [], self.bitmaps()
         for k in range(0, len(i), AT_ONCE):
             a, b = i[k : k + AT_ONCE], j[k : k + AT_ONCE]
             both = np.bitwise_count(sets[a] & sets[b]).sum(axis=1, dtype=np.int64)
-            value = both / (n[a] + n[b] - both)
-            near = value >= threshold
-            out.append((a[near], b[near], value[near]))
-
-    for k, i in enumerate(left):
-        m = int(n[i])
-        lo = np.searchsorted(sizes, m * threshold - 1e-6) if two else k + 1
-        hi = np.searchsorted(sizes, m / threshold + 1e-6, "right")
-        if lo >= hi:
-            continue
-        if m not in limits:
-            limits[m] = np.minimum((m + sizes) * ((1 - threshold) / (1 + threshold)) + 1e-6, _BITS).astype(np.uint8)
-        t, p = total[: hi - lo], part[: hi - lo]
-        for w in range(len(SKETCH)):
-            np.bitwise_xor(words[w, lo:hi], s[i, w : w + 1].view(np.uint64), out=x[: hi - lo])
-            np.bitwise_count(x[: hi - lo], out=p if w else t)
-            if w:
-                np.add(t, p, out=t)
-        near = np.flatnonzero(t <= limits[m][lo:hi])
-        if len(near):
-            held.append((np.full(len(near), i), right[lo + near]))
-            waiting += len(near)
-        if waiting >= AT_ONCE:
-            count()
-            held, waiting = [], 0
-    if held:
-        count()
-    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.array([], np.int64), np.array([], np.int64), np.array([], float))
+            value = both / (self.sizes[a] + self.sizes[b] - both)
+            ok = value >= self.threshold
+            out.append((a[ok], b[ok], value[ok]))
+        return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.array([], np.int64), np.array([], np.int64), np.array([], float))
+
+    def scan(self, first: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (i, j), i < j, whose larger set j is at ``first`` or behind, by holding it against all smaller ones."""
+        n, t = len(self.sizes), self.threshold
+        x, total, part = np.empty(n, np.uint64), np.empty(n, np.uint8), np.empty(n, np.uint8)
+        low = np.searchsorted(self.sizes, self.sizes * t - 1e-6).tolist()
+        limits: dict[int, np.ndarray] = {}
+        rows, columns = [], []
+        for j, m in enumerate(self.sizes[first:].tolist(), first):
+            lo = low[j]
+            if lo >= j:
+                continue
+            if m not in limits:
+                limits[m] = np.minimum((m + self.sizes) * ((1 - t) / (1 + t)) + 1e-6, _BITS).astype(np.uint8)
+            y, c, p = x[: j - lo], total[: j - lo], part[: j - lo]
+            for w, word in enumerate(self.words):
+                np.bitwise_xor(word[lo:j], word[j], out=y)
+                np.bitwise_count(y, out=p if w else c)
+                if w:
+                    np.add(c, p, out=c)
+            found = np.flatnonzero(c <= limits[m][lo:j])
+            if self.two and len(found):
+                found = found[self.left[lo + found] != self.left[j]]
+            if len(found):
+                rows.append(lo + found)
+                columns.append(np.full(len(found), j))
+        return (np.concatenate(rows), np.concatenate(columns)) if rows else (np.array([], np.int64), np.array([], np.int64))
+
+    def meetings(self) -> int:
+        """How often two sets meet in a subset."""
+        seen = [0]
+        self.meet(len(self.sizes), np.inf, seen)
+        return seen[0]
+
+    def meet(self, last: int, budget: float, seen: list[int] | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+        """Pairs (i, j), i < j < last, that have a subset of two rare elements in common; None if that costs more than
+        ``budget`` nanoseconds. With ``seen`` the meetings are only counted."""
+        which, codes = _substring_codes([self.names[i] for i in self.order[:last]])
+        kinds, codes, often = np.unique(codes, return_inverse=True, return_counts=True)
+        place = np.empty(len(kinds), np.int64)
+        place[np.argsort(often, kind="stable")] = np.arange(len(kinds))
+        which, rank = np.divmod(np.sort(which * len(kinds) + place[codes]), max(1, len(kinds)))
+        starts = np.searchsorted(which, np.arange(last))
+        at = np.arange(len(which)) - starts[which]
+        short, long = _beginnings(self.sizes[:last], self.threshold)
+        keep = at < long[which] - 1  # the first elements of subsets; the second ones follow in the same set
+        first = np.flatnonzero(keep)
+        first = first[np.argsort(rank[first], kind="stable")]
+        each = long[which[first]] - 1 - at[first]
+        total = np.cumsum(each)
+        cuts = np.searchsorted(total, np.arange(SUBSETS, int(total[-1]) + SUBSETS if len(total) else 0, SUBSETS))
+        cuts = np.unique(np.searchsorted(rank[first], rank[first][np.minimum(cuts, len(first) - 1)])) if len(first) else np.array([], np.int64)  # whole ranks
+        found, spent = [], 0.0
+        for lo, hi in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(first)]])):
+            f, e = first[lo:hi], each[lo:hi]
+            if not len(f):
+                continue
+            step = np.arange(int(e.sum())) - np.repeat(np.cumsum(e) - e, e) + 1
+            one = np.repeat(f, e)
+            other, of = one + step, which[one]
+            key = (rank[one] * len(kinds) + rank[other]).astype(np.uint64)
+            packed = (key << np.uint64(24) | of.astype(np.uint64)) << np.uint64(1) | (at[other] < short[of]).astype(np.uint64)
+            packed.sort()
+            key, of, is_short = packed >> np.uint64(25), (packed >> np.uint64(1) & np.uint64(0xFFFFFF)).astype(np.int64), packed & np.uint64(1) == 1
+            ends = np.concatenate([np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+            group = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+            here = np.flatnonzero(is_short)
+            n = ends[group[here]] - here - 1  # of every two the smaller set must have it in its short beginning
+            here, n = here[n > 0], n[n > 0]
+            spent += len(key) * SUBSET_NS + float(n.sum()) * MEET_NS
+            if spent > budget:
+                return None
+            if seen is not None:
+                seen[0] += int(n.sum())
+                continue
+            for a in range(0, len(here), SUBSETS // 64):
+                h, c = here[a : a + SUBSETS // 64], n[a : a + SUBSETS // 64]
+                i = np.repeat(of[h], c)
+                j = of[np.repeat(h, c) + np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + 1]
+                ok = self.sizes[i] >= self.sizes[j] * self.threshold - 1e-6
+                if self.two:
+                    ok &= self.left[i] != self.left[j]
+                i, j = i[ok], j[ok]
+                ok = self.near(i, j)
+                found.append(np.unique(i[ok] * np.int64(last) + j[ok]))
+        pairs = np.unique(np.concatenate(found)) if found else np.array([], np.int64)
+        return pairs // max(1, last), pairs % max(1, last)
+
+
+def alike(names: list[str], side: np.ndarray, threshold: float, ways: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, likeness) of all pairs of names at the threshold: of the two sides if there are two, else of all names.
+    ways, if given, receives how many sets were small and how many large."""
+    sets = Sets(names, side, threshold)
+    n = len(names)
+    probe = np.unique(np.linspace(0, n - 1, PROBE).astype(int)) if n else np.array([], int)
+    tried = Sets([names[i] for i in probe], np.zeros(len(probe), int), threshold)
+    small = boundary(sets.sizes, threshold, tried.meetings() / max(1, len(probe) * (len(probe) - 1) / 2))
+    span = np.arange(small) - np.searchsorted(sets.sizes, sets.sizes[:small] * threshold - 1e-6)
+    none = np.array([], np.int64), np.array([], np.int64)
+    met = sets.meet(small, 2 * float(span.sum()) * SCAN_NS) if small else none
+    if met is None:  # more sets share their rarest elements than the estimate says: all are scanned
+        small, met = 0, none
+    if ways is not None:
+        ways.update(small=small, large=n - small)
+    i, j, value = sets.count(*(np.concatenate(c) for c in zip(met, sets.scan(small))))
+    return sets.order[i], sets.order[j], value
 
 
 def classes_of(records: DataFrame, block: str, name: str, key: str) -> tuple[DataFrame, DataFrame]:

@@ -29,7 +29,7 @@ from tallymark.runtime import BROADCAST_ROWS, materialize
 
 ERROR = 0.001
 #: Rows of a group that may be gathered and sorted.
-FINISH = 256
+FINISH = 512
 
 
 def _values(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -19,8 +19,9 @@ def _amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The percentiles of each district and day of delivery."""
-    return quantiles.percentiles(_amounts(spark, sf_dir), ("district", "day"), "sanction_amount")
+    """The percentiles of each district and day of delivery, and of all its days together (day ``all``)."""
+    days = _amounts(spark, sf_dir)
+    return quantiles.percentiles(days.unionByName(days.withColumn("day", F.lit("all"))), ("district", "day"), "sanction_amount")
 
 
 def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,11 +111,9 @@ ORACLE = {
         SELECT least(x.record_id, y.record_id) AS record_a, greatest(x.record_id, y.record_id) AS record_b FROM near JOIN m x ON x.c = a JOIN m y ON y.c = b
         UNION ALL SELECT x.record_id, y.record_id FROM m x JOIN m y USING (c) WHERE x.record_id < y.record_id""",
     "p2_daily": """
-        WITH r AS (
-            SELECT lower(trim(district)) AS district, strftime(ingested_at, '%Y-%m-%d') AS day, sanction_amount AS v, row_number() OVER w AS k,
-                count(*) OVER (PARTITION BY lower(trim(district)), strftime(ingested_at, '%Y-%m-%d')) AS n
-            FROM synthetic_dataset WHERE sanction_amount IS NOT NULL AND NOT isnan(sanction_amount)
-            WINDOW w AS (PARTITION BY lower(trim(district)), strftime(ingested_at, '%Y-%m-%d') ORDER BY sanction_amount))
+        WITH d AS (SELECT lower(trim(district)) AS district, strftime(ingested_at, '%Y-%m-%d') AS day, sanction_amount AS v FROM synthetic_dataset WHERE sanction_amount IS NOT NULL AND NOT isnan(sanction_amount)),
+        b AS (SELECT * FROM d UNION ALL SELECT district, 'all', v FROM d),
+        r AS (SELECT district, day, v, row_number() OVER (PARTITION BY district, day ORDER BY v) AS k, count(*) OVER (PARTITION BY district, day) AS n FROM b)
         SELECT district, day, max(n) AS n, max(CASE WHEN k = (50 * n + 99) // 100 THEN v END) AS p50, max(CASE WHEN k = (90 * n + 99) // 100 THEN v END) AS p90,
             max(CASE WHEN k = (95 * n + 99) // 100 THEN v END) AS p95, max(CASE WHEN k = (99 * n + 99) // 100 THEN v END) AS p99
         FROM r GROUP BY district, day""",

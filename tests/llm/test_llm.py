@@ -33,13 +33,35 @@ def test_near_duplicates_against_brute_force(spark):
     assert near_dup.record_pairs(df.limit(0)).count() == 0
 
 
-def test_heavy_elements_are_taken_in_subsets(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "BOUNDARIES", (2,))
-    monkeypatch.setattr(near_dup, "COMMON", 1.0)
-    data = [(i, "d", f"alpha beta gamma delta epsilon{'x' * (i % 2)}") for i in range(6)] + [(i, "d", f"alpha{i} betty garden dealer {i}") for i in range(6, 20)]
-    df = spark.createDataFrame(data, "record_id long, district string, work_name string")
-    want = {(a[0], b[0]) for a in data for b in data if a[0] < b[0] and _jaccard(a[2], b[2]) >= 0.65}
-    assert {tuple(r) for r in near_dup.record_pairs(df).collect()} == want
+@pytest.mark.parametrize("scan_ns, subset_ns, way", [(0.0, 60.0, "large"), (1e9, 1.0, "small"), (2.5, 150.0, None), (100.0, 3.0, None)])
+@pytest.mark.parametrize("two", [False, True])
+def test_small_and_large_sets_give_the_same_pairs(monkeypatch, scan_ns, subset_ns, way, two):
+    monkeypatch.setattr(near_dup, "SCAN_NS", scan_ns)
+    monkeypatch.setattr(near_dup, "SUBSET_NS", subset_ns)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abdeghiknoprtuv") for _ in range(rng.randint(3, 9))) for _ in range(80)]
+    base = [" ".join(rng.sample(words, rng.randint(2, 12))) for _ in range(150)] + ["abc", "abcd"]
+    typed = ["".join(c for k, c in enumerate(x) if k not in set(rng.sample(range(len(x)), min(len(x) - 1, rng.randint(0, 4))))) for x in base] + [" ".join(sorted(x.split())) for x in base]
+    names = sorted({" ".join(x.split()) for x in base + typed if len(x) > 2})
+    side = np.array([rng.randint(0, 1) if two else 0 for _ in names])
+    ways = {}
+    i, j, value = near_dup.alike(names, side, 0.65, ways)
+    want = {(a, b) for a in range(len(names)) for b in range(a) if (not two or side[a] != side[b]) and _jaccard(names[a], names[b]) >= 0.65}
+    assert {(max(p), min(p)) for p in zip(i.tolist(), j.tolist())} == want and len(i) == len(want) > 50
+    assert all(abs(v - _jaccard(names[a], names[b])) < 1e-12 for a, b, v in zip(i, j, value))
+    if way:
+        assert ways[way] == len(names)
+
+
+def test_no_pair_is_lost_to_frequent_words(spark):
+    town = [(i, "d", f"construction of cement concrete road at ward number {i} mysuru city") for i in range(400)]
+    df = spark.createDataFrame(town, "record_id long, district string, work_name string")
+    assert near_dup.record_pairs(df).count() == 79_800
+    rng = random.Random(1)
+    words = ["drain", "culvert", "school", "temple", "market", "hostel", "bridge", "canal"]
+    mixed = [(i, "d", " ".join(rng.sample(words, 5)) + f" {i}") for i in range(150)]
+    want = {(a[0], b[0]) for a in mixed for b in mixed if a[0] < b[0] and _jaccard(a[2], b[2]) >= 0.65}
+    assert len(want) > 100 and {tuple(r) for r in near_dup.record_pairs(spark.createDataFrame(mixed, "record_id long, district string, work_name string")).collect()} == want
 
 
 def test_a_family_of_copies_that_fills_a_third_of_a_block(spark, monkeypatch):
