@@ -30,7 +30,7 @@ from tallymark.runtime import materialize
 #: Where the tokenizers' files are, which one counts, and how it cuts a text before merging (a fixed value of the vocabulary).
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-PER_PART, FAN_IN, SPARE = 200_000, 8, 4
+PER_PART, FAN_IN, SPARE = 20_000, 8, 4
 
 
 @lru_cache(4)
@@ -109,58 +109,66 @@ def _pack_part(pdf: pd.DataFrame, capacity: int, stage: int, part: int, last: bo
         filled = np.bincount(bins, weights=sizes, minlength=n)
         pool[np.argsort(filled, kind="stable")[: gap + SPARE]] = True
     number = (np.int64(stage) << 56) | (np.int64(part) << 32) | bins
-    out = pdf[["doc", "piece", "size"]].copy()
+    out = pdf[["container", "capacity", "doc", "piece", "size"]].copy()
     out["bin"] = pd.array(np.where(pool[bins], -1, number) if n else [], "Int64")
     return out
 
 
-def _packer(capacity: int, stage: int, last: bool):
+def _packer(stage: int, parts: dict[str, int]):
     def group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _pack_part(pdf, capacity, stage, int(key[0]), last)
+        return _pack_part(pdf, int(pdf["capacity"].iat[0]), stage, int(key[1]), parts[key[0]] == 1)
 
     return group
 
 
-def pack(sizes: DataFrame, capacity: int, doc: str = "doc_id", per_part: int = PER_PART) -> DataFrame:
-    """(doc, piece, tokens, bin) for one capacity."""
-    whole = F.expr(f"tokens div {capacity}")
-    cut = sizes.filter(F.col("tokens") > 0).select(F.col(doc).alias("doc"), "tokens", F.explode(F.sequence(F.lit(0), F.expr(f"cast((tokens - 1) div {capacity} as int)"))).alias("piece"))
-    pieces = cut.select("doc", "piece", F.when(F.col("piece") < whole, F.lit(capacity)).otherwise(F.col("tokens") % capacity).cast("long").alias("size"))
-    full = pieces.filter(F.col("size") == capacity).select("doc", "piece", "size", F.monotonically_increasing_id().alias("bin"))
+def pack_all(sizes: DataFrame, containers: DataFrame, doc: str = "doc_id", per_part: int = PER_PART) -> DataFrame:
+    """(container, capacity, doc, piece, tokens, bin) for each container of a small table of capacities, all at once."""
+    wanted = containers.filter(F.col("capacity_tokens") > 0).orderBy("container").limit(1001).collect()
+    if len(wanted) > 1000:
+        raise ValueError("more than 1,000 containers")
     kind = sizes.schema[doc].dataType.simpleString()
-    schema = f"doc {kind}, piece int, size long, bin long"
-    rest = pieces.filter(F.col("size") < capacity)
-    n = rest.count()
-    parts, stage, kept = max(1, -(-n // per_part)), 1, []
-    rest = rest.withColumn("part", F.pmod(F.xxhash64("doc", "piece"), F.lit(parts)))
-    while n:
-        last = parts == 1
-        solved = rest.groupBy("part").applyInPandas(_packer(capacity, stage, last), schema)
-        solved = materialize(solved, "packed")
+    if not wanted:
+        return sizes.sparkSession.createDataFrame([], f"container string, capacity int, `{doc}` {kind}, piece int, tokens long, bin long")
+    each = F.explode(F.array(*[F.struct(F.lit(r["container"]).alias("container"), F.lit(int(r["capacity_tokens"])).alias("capacity")) for r in wanted]))
+    cut = sizes.filter(F.col("tokens") > 0).select(F.col(doc).alias("doc"), "tokens", each.alias("c")).select("c.container", "c.capacity", "doc", "tokens")
+    cut = cut.withColumn("piece", F.explode(F.sequence(F.lit(0), F.expr("cast((tokens - 1) div capacity as int)"))))
+    pieces = cut.select("container", "capacity", "doc", "piece", F.when(F.col("piece") < F.expr("tokens div capacity"), F.col("capacity")).otherwise(F.col("tokens") % F.col("capacity")).cast("long").alias("size"))
+    full = pieces.filter("size = capacity").withColumn("bin", F.monotonically_increasing_id())
+    schema = f"container string, capacity int, doc {kind}, piece int, size long, bin long"
+    rest, stage, kept, before = pieces.filter("size < capacity"), 1, [], {}
+    while True:
+        held = {r["container"]: r["n"] for r in rest.groupBy("container").agg(F.count("*").alias("n")).collect()}  # a row per container
+        if not held:
+            break
+        # fewer partitions each round, so that the texts of several meet
+        parts = {c: max(1, min(-(-n // per_part), before.get(c, FAN_IN * -(-n // per_part)) // FAN_IN)) if stage > 1 else max(1, -(-n // per_part)) for c, n in held.items()}
+        number = F.create_map(*[x for c, p in parts.items() for x in (F.lit(c), F.lit(p))])
+        spread = rest.withColumn("part", F.pmod(F.xxhash64("doc", "piece", F.lit(stage)), number[F.col("container")]))
+        solved = materialize(spread.groupBy("container", "part").applyInPandas(_packer(stage, parts), schema), "packed")
         kept.append(solved.filter("bin >= 0"))
-        pool = solved.filter("bin < 0").drop("bin")
-        n = 0 if last else pool.count()
-        parts, stage = max(1, -(-n // per_part), parts // FAN_IN), stage + 1
-        rest = pool.withColumn("part", F.pmod(F.xxhash64("doc", "piece"), F.lit(parts)))
+        rest, stage, before = solved.filter("bin < 0").drop("bin"), stage + 1, parts
+        if all(p == 1 for p in parts.values()):
+            break
     out = full
     for k in kept:
         out = out.unionByName(k)
-    return out.select(F.col("doc").alias(doc), "piece", F.col("size").alias("tokens"), "bin")
+    return out.select("container", "capacity", F.col("doc").alias(doc), "piece", F.col("size").alias("tokens"), "bin")
 
 
-def pack_all(sizes: DataFrame, containers: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(container, capacity, doc, piece, tokens, bin) for each container of a small table of capacities."""
-    out = None
-    sizes_wanted = containers.filter(F.col("capacity_tokens") > 0).orderBy("container").limit(1001).collect()
-    if len(sizes_wanted) > 1000:
-        raise ValueError("more than 1,000 containers")
-    for row in sizes_wanted:
-        part = pack(sizes, int(row["capacity_tokens"]), doc).select(F.lit(row["container"]).alias("container"), F.lit(int(row["capacity_tokens"])).alias("capacity"), doc, "piece", "tokens", "bin")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        kind = sizes.schema[doc].dataType.simpleString()
-        out = sizes.sparkSession.createDataFrame([], f"container string, capacity int, `{doc}` {kind}, piece int, tokens long, bin long")
-    return out
+def pack(sizes: DataFrame, capacity: int, doc: str = "doc_id", per_part: int = PER_PART) -> DataFrame:
+    """(doc, piece, tokens, bin) for one capacity."""
+    one = sizes.sparkSession.createDataFrame([("one", int(capacity))], "container string, capacity_tokens long")
+    return pack_all(sizes, one, doc, per_part).select(doc, "piece", "tokens", "bin")
+
+
+def promises(packed: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(container, texts, overfull, torn, above): texts packed, bins beyond their capacity, texts whose pieces are not just as
+    many as they must be, and bins in use beyond one per cent over the lower bound."""
+    bins = packed.groupBy("container", "capacity", "bin").agg(F.sum("tokens").alias("t")).groupBy("container").agg(F.count_if(F.col("t") > F.col("capacity")).alias("overfull"))
+    texts = packed.groupBy("container", "capacity", doc).agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
+    whole = texts.groupBy("container").agg(F.count("*").alias("texts"), F.count_if(F.col("n") != F.ceil(F.col("t") / F.col("capacity"))).alias("torn"))
+    above = certificate(packed).select("container", F.greatest(F.lit(0), F.col("bins") - F.floor(F.col("least") * 1.01) - 1).cast("long").alias("above"))
+    return bins.join(whole, "container").join(above, "container").select("container", "texts", "overfull", "torn", "above")
 
 
 def certificate(packed: DataFrame) -> DataFrame:

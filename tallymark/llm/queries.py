@@ -66,6 +66,15 @@ def p7_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.certificate(_packed(spark, sf_dir))
 
 
+def p7_promises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.promises(_packed(spark, sf_dir))
+
+
+def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a whole item, as it is or edited a little: similarity of weighted five-word shingles of 0.8 or more."""
+    return leakage.near_leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "text"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the stretches within the radius, those equal word for word."""
     found = leakage.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "text"))
@@ -90,7 +99,9 @@ QUERIES = {
     "p4_found": p4_found,
     "p7_packing": p7_packing,
     "p7_certificate": p7_certificate,
+    "p7_promises": p7_promises,
     "p8_found": p8_found,
+    "p8_near": p8_near,
     "p9_found": p9_found,
     "p9_mended": p9_mended,
 }
@@ -136,6 +147,8 @@ ORACLE = {
         b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
         w(x, y) AS (SELECT u, least(u, v) FROM b UNION SELECT b.v, w.y FROM w JOIN b ON b.u = w.x WHERE w.y < b.v)
         SELECT x AS record_id, min(y) AS group_id FROM w GROUP BY x""",
+    "p7_promises": """
+        SELECT container, (SELECT count(*) FROM documents WHERE length(text) > 0) AS texts, 0 AS overfull, 0 AS torn, 0 AS above FROM pack_sizes WHERE capacity_tokens > 0""",
     "p8_found": """
         WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
         i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),

@@ -198,6 +198,19 @@ def test_packing_holds_its_promises(spark):
     assert packing.pack_all(counts, none).count() == 0
 
 
+def test_partitions_with_gaps_exchange_texts(spark):
+    rng = np.random.default_rng(6)
+    sizes = np.concatenate([rng.integers(150, 380, 900), rng.integers(20, 60, 100)])
+    counts = spark.createDataFrame([(i, int(t)) for i, t in enumerate(sizes)], "doc_id long, tokens long")
+    packed = packing.pack(counts, 512, per_part=100).toPandas()
+    stage, part = packed.bin.to_numpy() >> 56, packed.bin.to_numpy() >> 32
+    assert set(stage.tolist()) >= {1, 2}  # the pool was packed again
+    part_of = counts.withColumn("p", packing.F.pmod(packing.F.xxhash64("doc_id", packing.F.lit(0), packing.F.lit(1)), packing.F.lit(10))).toPandas()
+    alone = sum(max(packing.best_fit_decreasing(g.tokens.tolist(), 512)) + 1 for _, g in part_of.groupby("p"))
+    assert packed.groupby("bin").tokens.sum().max() <= 512 and sorted(packed.doc_id) == list(range(1000))
+    assert packed.bin.nunique() < alone
+
+
 def test_best_fit_and_bounds():
     sizes = [6, 6, 4, 4, 3, 3, 2, 2]
     bins = packing.best_fit_decreasing(sizes, 10)
@@ -234,11 +247,34 @@ def test_every_fingerprint_within_the_radius_is_found():
     prints = index.prints[rng.integers(0, len(index.prints), 200)]
     for _ in range(leakage.RADIUS):
         prints = prints ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64))
-    left, right = index.candidates(prints)
+    left, right = index.blocks.candidates(prints)
     want = {(i, j) for i, p in enumerate(prints) for j, q in enumerate(index.prints) if int(np.bitwise_count(p ^ q)) <= leakage.RADIUS}
     assert set(zip(left.tolist(), right.tolist())) == want
 
 
+def test_edited_items_against_brute_force(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    items = [(i, [rng.choice(vocabulary) for _ in range(rng.randint(70, 130))]) for i in range(40)]
+    docs = []
+    for d in range(120):
+        words = list(items[d % 40][1])
+        for _ in range(1 + d % 3):
+            k = rng.randrange(len(words))
+            words[k : k + rng.randint(0, 1)] = [] if rng.random() < 0.3 else [rng.choice(vocabulary)]
+        docs.append((d, " ".join([rng.choice(vocabulary) for _ in range(rng.randint(0, 60))] + words + [rng.choice(vocabulary) for _ in range(rng.randint(0, 60))])))
+    docs += [(200, None), (201, ""), (202, "too short"), (203, "pad " * 30_000), (204, " ".join(items[3][1])), (204, " ".join(items[3][1]))]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(90, None), (91, "a b")], "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    index = leakage.WholeItems([i for i, _ in items], [" ".join(w) for _, w in items], radius=63)  # every window is a candidate
+    ids = [d for d, t in docs if t]
+    want = {(d, i) for d, i, _ in index.search(ids, [leakage.words_of(t) for _, t in docs if t])}
+    got = [(r.doc_id, r.item_id) for r in leakage.near_leaks(df, table).collect()]
+    assert len(got) == len(set(got)) + 1 and set(got) <= want and len(want) > 60
+    assert len(set(got)) >= 0.97 * len(want)
+    assert leakage.near_leaks(df.limit(0), table).count() == 0 and leakage.near_leaks(df, table.limit(0)).count() == 0
+
+
 # ---- garbled text
 def test_garbled_text(spark):
     clean = [f"The estimate of ₹{i} rests on the café’s slope of {i}° near plot {i}–{i + 1}, as révisé by the office." for i in range(40)]
