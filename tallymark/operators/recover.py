@@ -8,7 +8,7 @@ The grammar is a small recursive descent one::
     plain  := (any char but SEP)*                     -- a quote inside is plain text
 
 On a broken quote the parser notes the error with its offset and looks for the next *validated record-start anchor*: a
-line break after which the anchor pattern matches and a whole record with the right number of fields can be parsed. From
+line break behind the opening quote after which the anchor pattern matches and a whole record with the right number of fields can be parsed. From
 there it goes on with a new record, so one lost quote costs one record and not the rest of the text.
 
 Defined results: a null or blank text is a record of one empty field (``column_count``); one carriage return at the very
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,8 +62,10 @@ class Parsed:
 
 
 class _Broken(Exception):
-    def __init__(self, at: int):
-        self.at = at
+    """at: where it was noticed; opened: where the quoted field began."""
+
+    def __init__(self, at: int, opened: int):
+        self.at, self.opened = at, opened
 
 
 def _quoted(text: str, at: int, sep: str, stop: str) -> tuple[str, int]:
@@ -71,12 +74,12 @@ def _quoted(text: str, at: int, sep: str, stop: str) -> tuple[str, int]:
     while True:
         j = text.find('"', i)
         if j < 0:
-            raise _Broken(at)
+            raise _Broken(at, at)
         if text.startswith('""', j):
             i = j + 2
             continue
         if j + 1 < len(text) and text[j + 1] != sep and text[j + 1] not in stop:
-            raise _Broken(j)
+            raise _Broken(j, at)
         return text[at + 1 : j].replace('""', '"'), j + 1
 
 
@@ -128,7 +131,7 @@ def parse_line(text: str | None, sep: str, width: int = len(FIELDS), anchor: re.
             got.fields, end = _record(text, at, sep, "" if not found[1:] else "\n")
         except _Broken as broken:
             got.errors.append(("quoting", text.count(sep, at, broken.at), broken.at))
-            if (at := _anchor(text, broken.at, sep, width, anchor)) < 0:
+            if (at := _anchor(text, broken.opened, sep, width, anchor)) < 0:
                 return found
             continue
         if len(got.fields) != width:
@@ -150,7 +153,7 @@ def parse_text(text: str | None, sep: str, width: int = len(FIELDS), anchor: re.
                 got.errors.append(("column_count", -1, at))
         except _Broken as broken:
             got.errors.append(("quoting", text.count(sep, at, broken.at), broken.at))
-            end = _anchor(text, broken.at, sep, width, anchor) - 1
+            end = _anchor(text, broken.opened, sep, width, anchor) - 1
             end = len(text) if end < 0 else end
         yield got
         at = end + 1
@@ -228,6 +231,46 @@ def read_lines(lines: DataFrame, raw: str = "raw", sep: str = "sep", key: str =
     return source.mapInPandas(parse, f"key {source.schema['key'].dataType.simpleString()}, {RESULT}").withColumnRenamed("key", key)
 
 
+def learn_anchor(lines: DataFrame, raw: str = "raw", sep: str = "sep", width: int = len(FIELDS)) -> str:
+    """How records start, as a pattern: the commonest shape of the first field of lines without quotes that have the right
+    width. Shapes keep punctuation and the kind of each run of letters or digits; one row of counts per shape is looked at."""
+    fields = F.split(F.col(raw), F.concat(F.lit("["), F.col(sep), F.lit("]")))
+    plain = lines.filter(F.col(raw).isNotNull() & ~F.contains(F.col(raw), F.lit('"')) & (F.length(sep) == 1) & ~F.col(sep).isin("\\", "^", "]") & (F.size(fields) == width))
+    shape = F.regexp_replace(F.regexp_replace(F.trim(fields[0]), "[A-Za-z]+", "A"), "[0-9]+", "9")
+    top = plain.select(shape.alias("s")).filter("length(s) BETWEEN 1 AND 60").groupBy("s").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "s").first()
+    if top is None:
+        return ANCHOR
+    return '"?' + re.escape(top["s"]).replace("A", "[A-Za-z]+").replace("9", "[0-9]+")
+
+
+#: Lines of one batch that a task puts together to a text.
+LINES = 50_000
+
+
+def read_texts(lines: DataFrame, batch: str = "batch_id", number: str = "line_no", raw: str = "raw", sep: str = "sep", anchor: str | None = None) -> DataFrame:
+    """The records of whole texts: each batch's lines in order, in stretches of ``LINES`` lines, with one (batch, number,
+    segment, ok, fields, errors) per record. A broken quote swallows what follows up to the next validated anchor."""
+    anchor = anchor or learn_anchor(lines, raw, sep)
+    source = lines.select(F.col(batch).alias("batch"), F.col(number).alias("number"), F.coalesce(raw, F.lit("")).alias("raw"), F.coalesce(sep, F.lit(",")).alias("sep"), F.floor(F.col(number) / LINES).alias("part"))
+
+    def parse(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("number", kind="stable")
+        texts = [t.removesuffix("\r") for t in pdf["raw"].tolist()]
+        starts = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+        rows = []
+        for n, parsed in enumerate(parse_text("\n".join(texts), pdf["sep"].iat[0], anchor=anchor)):
+            values = [None] * len(FIELDS) if parsed.errors else _typed(parsed)
+            at = int(np.searchsorted(starts, parsed.start, "right")) - 1
+            rows.append((pdf["batch"].iat[0], pdf["number"].iat[at], n, not parsed.errors, *values, [{"reason": r, "field": f, "position": p} for r, f, p in parsed.errors]))
+        out = pd.DataFrame(rows, columns=["batch", "number", "segment", "ok", *FIELDS, "errors"])
+        for name in AMOUNTS:
+            out[name] = out[name].astype("Float64")
+        return out
+
+    kinds = f"batch {source.schema['batch'].dataType.simpleString()}, number {source.schema['number'].dataType.simpleString()}"
+    return source.groupBy("batch", "sep", "part").applyInPandas(parse, f"{kinds}, {RESULT}").withColumnsRenamed({"batch": batch, "number": number})
+
+
 def good_rows(parsed: DataFrame) -> DataFrame:
     return parsed.filter("ok").drop("ok", "errors")
 

@@ -19,15 +19,43 @@ def p5_good_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recover.good_rows(recover.read_lines(table(spark, sf_dir, "raw_lines", "line_id", "sep", "raw")))
 
 
-def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A reading against the order its portal declares is no moment: checked after the choice."""
+def p5_located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each error with the field it is in and where in the line it was noticed (-1: not in one place)."""
+    parsed = recover.read_lines(table(spark, sf_dir, "raw_lines", "line_id", "sep", "raw")).filter("NOT ok AND segment = 0")
+    return parsed.select("line_id", F.explode("errors").alias("e")).select("line_id", "e.reason", "e.field", "e.position")
+
+
+def p5_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each batch as one text, its lines in order: the records found, those behind a broken quote resumed at anchors."""
+    lines = table(spark, sf_dir, "raw_lines", "line_id", "batch_id", "line_no", "sep", "raw")
+    return recover.read_texts(lines).groupBy("batch_id").agg(F.count("*").alias("records"), F.count_if("ok").alias("good"))
+
+
+def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     works = table(spark, sf_dir, "synthetic_dataset", "record_id", "portal", *DATE_COLUMNS)
-    found = moments.normalise(works.join(table(spark, sf_dir, "portals", "portal", "tz", "date_order"), "portal", "left"), DATE_COLUMNS)
-    agrees = F.col("order_read").isNull() | F.col("order_declared").isNull() | (F.col("order_read") == F.col("order_declared"))
-    return found.filter(agrees).select("record_id", "field", "utc_us")
+    return works.join(table(spark, sf_dir, "portals", "portal", "tz", "date_order"), "portal", "left")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The portals' declared orders hold: a reading against one is no moment."""
+    return moments.normalise(_dated(spark, sf_dir), DATE_COLUMNS, trusted=True).select("record_id", "field", "utc_us")
+
+
+def p6_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As if no portal had declared its order: each numeric date is read as its source's records in their order suggest."""
+    silent = _dated(spark, sf_dir).withColumn("date_order", F.lit(None).cast("string"))
+    return moments.normalise(silent, DATE_COLUMNS).select("record_id", "field", "utc_us")
+
+
+def p6_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order that the inferred readings of each portal follow; it should be the declared one."""
+    works = table(spark, sf_dir, "synthetic_dataset", "record_id", "portal")
+    silent = _dated(spark, sf_dir).withColumn("date_order", F.lit(None).cast("string"))
+    read = moments.normalise(silent, DATE_COLUMNS).filter("order_read IS NOT NULL").join(works, "record_id")
+    return read.groupBy("portal").agg(F.mode("order_read", True).alias("date_order"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_good_rows": p5_good_rows, "p6_found": p6_found}
+QUERIES = {"p5_found": p5_found, "p5_good_rows": p5_good_rows, "p5_located": p5_located, "p5_resumed": p5_resumed, "p6_found": p6_found, "p6_inferred": p6_inferred, "p6_orders": p6_orders}
 
 _PH = ", ".join(f"'{p}'" for p in PLACEHOLDERS)
 _SEPS = {",": "','", ";": "';'", "|": "'|'", "\\t": "chr(9)"}
@@ -99,3 +127,5 @@ def _moments_sql() -> str:
 
 
 ORACLE["p6_found"] = _moments_sql()
+ORACLE["p6_inferred"] = ORACLE["p6_found"]
+ORACLE["p6_orders"] = "SELECT portal, date_order FROM portals"

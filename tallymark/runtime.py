@@ -44,5 +44,11 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if it comes in fewer: for costly work on the rows of a small table."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def is_placeholder(column: Column) -> Column:
     return F.lower(F.trim(column)).isin(*PLACEHOLDERS)

@@ -36,6 +36,6 @@ def agree(spark, name, f, sql, data=DATA):
     mine = f(spark, data)
     columns = sorted(mine.columns)
     theirs = con.sql(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
-    show = lambda x: "null" if x is None or x != x else f"{x:.7g}" if isinstance(x, float) else str(x)
+    show = lambda x: "null" if x is None else "nan" if x != x else f"{x:.9g}" if isinstance(x, float) else str(x)
     tidy = lambda rs: sorted(tuple(show(x) for x in r) for r in rs)
     assert tidy(mine.select(*columns).collect()) == tidy(theirs), name

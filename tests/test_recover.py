@@ -65,3 +65,15 @@ def test_resumes_at_a_validated_anchor():
     assert found[1].errors[0][0] == "quoting" and text[found[2].start :] == GOOD
     behind = recover.parse_line(GOOD.replace("Mysuru", '"Mysuru') + "\n" + GOOD, "|")
     assert [bool(r.errors) for r in behind] == [True, False]
+
+
+def test_whole_texts_resume_at_anchors(spark):
+    broken = GOOD.replace("Mysuru", '"Mysuru')
+    texts = [GOOD, broken, GOOD.replace("Iyer", '"Iyer\nand Sons"'), "", GOOD + "\r", broken, broken, GOOD]
+    df = spark.createDataFrame([("b", i + 1, "|", x) for i, x in enumerate(texts)] + [("e", 1, "|", None)], "batch_id string, line_no int, sep string, raw string")
+    assert recover.learn_anchor(df) == recover.learn_anchor(df.limit(1)) and "RW" not in recover.learn_anchor(df)
+    got = recover.read_texts(df).filter("batch_id = 'b'").orderBy("line_no").select("line_no", "ok", "vendor_name").collect()
+    # a broken quote ends where a record validly starts, behind the second of two broken lines
+    assert [(r.line_no, r.ok) for r in got] == [(1, True), (2, False), (3, True), (4, False), (5, True), (6, False), (8, True)]
+    assert got[2].vendor_name == "Iyer\nand Sons"
+    assert recover.read_texts(df.limit(0)).count() == 0
