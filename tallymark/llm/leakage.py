@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallymark.runtime import spread
+
 WINDOW, RADIUS, SIMILARITY, SHINGLE = 12, 3, 0.8, 5
 #: Bits in which the fingerprints of two stretches as long as an item may differ.
 WIDE_RADIUS = 13
@@ -176,7 +178,7 @@ def _scan(documents: DataFrame, items: DataFrame, build, search, found: str, doc
     """One pass over the documents for each block of items; an index is a few times its items' texts."""
     whole = items.filter(F.col(text).isNotNull()).select(F.col(item).cast("long").alias("i"), F.col(text).alias("t"))
     blocks = max(1, -(-whole.count() // ITEM_BLOCK))
-    source = documents.filter(F.col(text).isNotNull()).select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t"))
+    source = spread(documents.filter(F.col(text).isNotNull()).select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t")))
     columns = ["doc_id", "item_id", *[c.split()[0] for c in found.split(", ")]]
     out = None
     for b in range(blocks):

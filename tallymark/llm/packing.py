@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.runtime import materialize
+from tallymark.runtime import materialize, spread
 
 #: Where the tokenizers' files are, which one counts, and how it cuts a text before merging (a fixed value of the vocabulary).
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
@@ -52,7 +52,7 @@ def token_counts(documents: DataFrame, doc: str = "doc_id", text: str = "text",
             n = [len(encoding.encode_ordinary(t)) for t in b["t"].tolist()]
             yield pd.DataFrame({"d": b["d"], "n": n})
 
-    source = documents.filter(F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(doc).alias("d"), F.col(text).alias("t"))
+    source = spread(documents.filter(F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(doc).alias("d"), F.col(text).alias("t")))
     kind = source.schema["d"].dataType.simpleString()
     return source.mapInPandas(count, f"d {kind}, n long").filter("n > 0").select(F.col("d").alias(doc), F.col("n").alias("tokens"))
 
