@@ -126,13 +126,37 @@ REGISTER = [(1, "vendor", "Yitraivaal and Haakrikham Engineering Works", "Kachal
     ],
 )
 def test_typed_names(field, text, want):
-    vendors, offices = (names.Vendors if k == "vendor" else names.Offices for k in ("vendor", "agency"))
-    kind, finder = ("vendor", vendors) if field == "v" else ("agency", offices)
+    kind, finder = "vendor" if field == "v" else "agency", names.Register
     held = [(i, n, s) for i, k, n, s in REGISTER if k == kind]
     got = None if not text or text in {n for _, n, _ in held} or text == "N/A" else finder(held).resolve(text)
     assert got == want
 
 
+def test_long_names_and_offices_nobody_listed():
+    places = ["Bhishogaav", "Kraikaikot", "Dhabilosar", "Nopukunta", "Kovrethal", "Vaidusar"]
+    offices = [(10 * k + n, f"{p} {o}" if n % 2 else f"{o}, {p}", None) for k, p in enumerate(places) for n, o in enumerate(("Zila Panchayat", "Roads and Buildings Division", "Town Municipal Board"))]
+    r = names.Register([*offices, (99, "Public Health Engineering Department, Bhishogaav", None)])
+    assert r.resolve("Public Health Engg Dept, Bhishogaav") == 99 == r.resolve("o/o the public health engineering dept bhishogav")
+    assert r.resolve("R&B Divn., Kraikaikot") == 11 and r.resolve("ZP Kraikaikott") == 10 and r.resolve("T.M. Board (Vaidusar)") == 52
+    assert r.resolve("Forest Range, Bhishogaav") is None and r.resolve("Bhishogaav") is None
+    five = names.Register([(1, "Harnesh Kotvaral Simdopa Brijeth Lumokar Traders", None), (2, "Wilvash Kotvaral Traders", None)])
+    assert five.resolve("Harnesh Kotvaral Simdopa Brijath Lumokar Traders") == 1  # one letter
+    assert five.resolve("Lumokar, Harnesh Kotvaral Simdopa Traders") == 1  # one left out
+    assert five.resolve("Harnesh Kotvaral Traders") is None and five.resolve("H Kotvaral S Brijeth L Traders") == 1
+
+
+def test_assignment_is_optimal():
+    from itertools import permutations
+
+    rng = random.Random(2)
+    for n in (1, 2, 3, 5):
+        for _ in range(30):
+            gain = [[rng.choice([0, 0.3, rng.random()]) for _ in range(n)] for _ in range(n)]
+            got = names.assign(gain)
+            assert sorted(got) == list(range(n))
+            assert abs(sum(gain[i][j] for i, j in enumerate(got)) - max(sum(gain[i][j] for i, j in enumerate(p)) for p in permutations(range(n)))) < 1e-9
+
+
 def test_links_rows(spark):
     register = spark.createDataFrame(REGISTER, "entity_id long, kind string, name string, short_name string")
     data = [(1, "c sathiha contractors", "zp bhishogaav", "clash"), (2, None, "N/A", ""), (3, "c sathiha contractors", REGISTER[5][2], ""), (4, "", "nowhere", "")]
