@@ -82,11 +82,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mojibake.mended(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id")
+    return mojibake.mended(table(spark, sf_dir, "documents", "doc_id", "text", "source"), source="source").select("doc_id")
 
 
 def p9_mended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mojibake.mended(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return mojibake.mended(table(spark, sf_dir, "documents", "doc_id", "text", "source"), source="source")
 
 
 QUERIES = {

@@ -321,6 +321,23 @@ def test_single_byte_swaps_need_neighbours(spark):
     assert got.keys() == {900, 901} and got[900] == line
 
 
+def test_a_code_that_no_encoding_explains_is_learned(spark):
+    strange = {"é": "ⱠⱡꜢ"[:2], "à": "Ⱡꜣ", "ç": "Ⱡꜥ", "ê": "ⱠꜦ", "ô": "Ⱡꜧ"}
+    lines = [f"Le marché numéro {i} est clos, la façade du bâtiment près du pont est terminée à temps, la tête aussi, côté nord." for i in range(60)]
+    twist = lambda t: "".join(strange.get(c, c) for c in t)
+    data = [*enumerate(lines), *((100 + i, twist(lines[i])) for i in range(6)), (200, twist("Autre chose : la clôture du café, déjà reçue."))]
+    got = {r.doc_id: r.text for r in mojibake.mended(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got.keys() == {*range(100, 106), 200} and got[103] == lines[3] and got[200] == "Autre chose : la clôture du café, déjà reçue."
+
+
+def test_a_fault_common_in_one_source_is_no_usage(spark):
+    line = "Le marché de travaux est clos. La façade du bâtiment est finie. On a noté les malfaçons et l’usure des lieux, jusqu’à la fin du mois de mai. La tête du pont et la sécurité du site."
+    swapped = line.encode("cp1252").decode("mac_roman")
+    data = [(i, f"Lot {i}. {line}", f"s{i % 5}") for i in range(400)] + [(900 + i, f"Lot {i}. {swapped}", "bad") for i in range(100)]
+    got = {r.doc_id for r in mojibake.mended(spark.createDataFrame(data, "doc_id long, text string, source string"), source="source").collect()}
+    assert got == set(range(900, 1000))
+
+
 def test_more_containers_than_the_bound_are_an_error(spark):
     sizes = spark.createDataFrame([("x", 5)], "doc_id string, tokens long")
     containers = spark.range(1001).selectExpr("cast(id as string) container", "10 capacity_tokens")
