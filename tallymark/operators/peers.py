@@ -16,10 +16,15 @@ MIN_CLUSTER, MIN_CELL, MIN_NORM, STRATA = 30, 15, 8, 5
 MAD_SCALE, HIGH, EXTREME, GATE = 1.4826, 5.0, 20.0, 0.5
 
 
+def with_text(df: DataFrame) -> DataFrame:
+    """``_text``: the normal text of the work's name."""
+    return df.withColumn("_text", work_text(F.col("work_name"), delimiters=PLACES, extra=ACTIONS))
+
+
 def with_kind(scored: DataFrame, min_records: int = MIN_CLUSTER) -> DataFrame:
     """``kind``: the normal text of the work's name if enough records share it, else null (noise). A deterministic stand-in
     for density clustering of the distinct texts; it needs one aggregation and no text ever meets another."""
-    texts = scored.withColumn("_text", work_text(F.col("work_name"), delimiters=PLACES, extra=ACTIONS))
+    texts = scored if "_text" in scored.columns else with_text(scored)
     common = texts.filter("_text != ''").groupBy("_text").agg(F.count("*").alias("_c")).filter(F.col("_c") >= min_records).select("_text", F.col("_text").alias("kind"))
     return texts.join(small_side(common), "_text", "left").drop("_text")
 
@@ -65,7 +70,8 @@ def norms(df: DataFrame, keys: list[str], features: list[str], where: Column) ->
 
 def structure(scored: DataFrame, min_records: int = MIN_CLUSTER) -> DataFrame:
     """The scored records with kind, stratum, cell and features, written once: the norms look at them several times."""
-    return materialize(with_features(with_cells(with_stratum(with_kind(scored, min_records))[0])), "structure")
+    texts = scored if "_text" in scored.columns else materialize(with_text(scored), "texts")
+    return materialize(with_features(with_cells(with_stratum(with_kind(texts, min_records))[0])), "structure")
 
 
 def deviations(structured: DataFrame) -> DataFrame:

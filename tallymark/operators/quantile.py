@@ -1,7 +1,8 @@
 """Exact interpolated quantiles per group that never gather a group.
 
-A mergeable sketch brackets each quantile; only the values inside the bracket (a few per mille of a large group) are ranked,
-the values below are counted. Groups of up to ``SMALL`` rows are ranked whole."""
+Groups of up to ``SMALL`` rows, by count, are ranked whole from their distinct values and counts (a few megabytes a task). Beyond
+that a mergeable sketch brackets each quantile; only the distinct values inside the bracket (a few per mille of a large group)
+are ranked, each with its count, so a tie as large as a group is one row; the values below are counted."""
 
 from __future__ import annotations
 
@@ -10,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL, MARGIN, ACCURACY = 5_000, 0.002, 10_000
+SMALL, MARGIN, ACCURACY = 200_000, 0.002, 10_000
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
@@ -32,13 +33,14 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     by = [f"_k{i}" for i in range(len(keys))] + ["n", "i", "q"]
     wide = data.join(spans, same) if keys else data.crossJoin(F.broadcast(spans))  # without keys the bracket is one row per q
-    below = wide.groupBy(*by).agg(F.sum(F.when(F.col("_x") < F.col("lo"), 1).otherwise(0)).alias("below"))
-    inside = wide.filter("lo IS NULL OR (_x >= lo AND _x <= hi)").select(*by, "_x")
-    ranked = inside.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("_x")))
-    both = ranked.alias("a").join(below.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]).select(*[f"a.{c}" for c in by], "a._x", (F.col("r") + F.col("below") - 1).alias("at"))
+    # one row per value inside the bracket and one (null) for all below it
+    counted = wide.filter("hi IS NULL OR _x <= hi").groupBy(*by, F.when(F.col("lo").isNull() | (F.col("_x") >= F.col("lo")), F.col("_x")).alias("_x")).agg(F.count("*").alias("c"))
+    run = F.sum("c").over(Window.partitionBy(*by).orderBy(F.col("_x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    both = counted.withColumn("upto", run).filter("_x IS NOT NULL")
     place = (F.col("n") - 1) * F.col("q")
-    low = F.max(F.when(F.col("at") == F.floor(place), F.col("_x")))
-    high = F.max(F.when(F.col("at") == F.ceil(place), F.col("_x")))
+    holds = lambda at: (F.col("upto") > at) & (F.col("upto") - F.col("c") <= at)
+    low = F.max(F.when(holds(F.floor(place)), F.col("_x")))
+    high = F.max(F.when(holds(F.ceil(place)), F.col("_x")))
     each = both.groupBy(*by).agg((low + (high - low) * F.max(place - F.floor(place))).alias("v"))
     return each.groupBy(*by[: len(keys)]).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"q{i}") for i in range(len(qs))]).select(
         *[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], "n", *[f"q{i}" for i in range(len(qs))]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallymark.functions import dates, text
 from tallymark.operators import anomaly, cleaning, confidence, duplicates, entities, groups, matching, peers, reports, screens
 from tallymark.operators.quantile import exact_quantiles
-from tallymark.runtime import PLACEHOLDERS, materialize, table
+from tallymark.runtime import PLACEHOLDERS, materialize, spread, table
 from tallymark.streaming import windows
 
 QUERIES: dict = {}
@@ -30,7 +30,7 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.clean(works(spark, sf_dir))
+    return cleaning.clean(spread(works(spark, sf_dir)))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def structured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return peers.structure(scored(spark, sf_dir))
+    return peers.structure(confidence.score(materialize(peers.with_text(cleaned(spark, sf_dir)), "cleaned")))
 
 
 def risky(spark: SparkSession, sf_dir: str) -> DataFrame:
