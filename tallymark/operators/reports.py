@@ -11,10 +11,17 @@ from tallymark.functions.text import worded_amount
 
 # What a paragraph of an audit is about, and how grave it is; the first pattern that fits counts.
 ISSUES = {
-    "cost_overrun": "(?i)cost over-?run|exceed(?:ed|s)? the (?:sanction|estimate)|excess expenditure", "delay": "(?i)delay|came late|not (?:yet )?completed|reminders?",
-    "documentation": "(?i)without|lack|no mention|not produced|countersign", "quality": "(?i)crack|unsafe|poor|incomplete|defect", "irregularity": "(?i)irregular|recoverable|short supply|misappropriat",
-}
-SEVERITIES = {"high": "(?i)fraud|unsafe|recoverable|misappropriat", "medium": "(?i)delay|excess|irregular|incomplete", "low": "(?i)noted|observed|remark"}
+    "ghost beneficiary": r"(?i)ghost\s+(?:beneficiar|worker|employee|muster)|fictitious\s+(?:beneficiar|name|worker)|non-?existent\s+beneficiar",
+    "overpayment": r"(?i)over-?payment|excess\s+payment|paid\s+in\s+excess|overcharg|inflated\s+(?:bill|rate|cost)|double\s+payment",
+    "procurement irregularity": r"(?i)procurement\s+irregular|tender(?:ing)?\s+irregular|without\s+(?:inviting\s+)?tender|single\s+tender|violation\s+of\s+(?:the\s+)?(?:gfr|procurement)|favouritism",
+    "underutilization": r"(?i)under-?utilis|under-?utiliz|unspent\s+balance|funds?\s+(?:lying|remained)\s+(?:idle|unspent)|non-?utilis|savings?\s+not\s+surrendered",
+    "delay": r"(?i)\bdelay(?:ed|s)?\b|time\s+over-?run|not\s+completed\s+within|belated|inordinate\s+delay",
+}
+SEVERITIES = {
+    "HIGH": r"(?i)fraud|misappropriat|embezzl|siphon|fictitious|forged|criminal|malafide|serious\s+irregular|major\s+loss",
+    "MEDIUM": r"(?i)irregular|avoidable|undue\s+(?:favour|benefit)|deficien|lapse|non-?compliance|shortfall",
+    "LOW": r"(?i)minor|procedural|clerical|technical\s+observation",
+}
 
 
 def first_match(x: Column, patterns: dict[str, str]) -> Column:
@@ -25,7 +32,8 @@ def paragraphs(documents: DataFrame, doc: str = "doc_id", text: str = "text", sh
     """(doc, n, issue, severity, amount, year) of the paragraphs of prose that name an issue."""
     parts = documents.select(doc, F.posexplode(F.split(text, r"\n\s*\n")).alias("n", "p")).filter(F.length("p") >= shortest)
     p = F.col("p")
-    year = F.regexp_extract(p, "(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)", 1).try_cast("int")
+    bare = F.regexp_extract(p, "(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)", 1).try_cast("int")
+    year = F.coalesce(F.regexp_extract(p, "(?:^|[^0-9])((?:19|20)[0-9]{2})[-/][0-9]{2}", 1).try_cast("int"), bare)  # a financial year before a bare one
     return parts.select(doc, "n", first_match(p, ISSUES).alias("issue"), first_match(p, SEVERITIES).alias("severity"), worded_amount(p).alias("amount"), year.alias("year")).filter("issue IS NOT NULL")
 
 
@@ -35,9 +43,11 @@ def multi_hot(labels: DataFrame, key: str, label: str, channels: Sequence[str])
 
 
 def nullish_lexicon(df: DataFrame, columns: Sequence[str], longest: int = 14, least: int = 10) -> DataFrame:
-    """(token, fields, n): short values without digits that stand in two columns or more: words for *nothing*."""
+    """(token, fields, n): short values that stand in two columns or more and hold no digit, or zeros only and are no number:
+    words for *nothing*."""
     cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.lower(F.trim(F.col(c))).alias("token")) for c in columns])).alias("c")).select("c.*")
-    short = cells.filter((F.length("token") <= longest) & ~F.col("token").rlike("[1-9]"))
+    zeros = F.col("token").rlike(r"^[0\W_]+$") & ~F.replace(F.replace("token", F.lit(","), F.lit("")), F.lit(" "), F.lit("")).rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$")
+    short = cells.filter((F.length("token") <= longest) & (~F.col("token").rlike("[0-9]") | zeros))
     return short.groupBy("token").agg(F.count_distinct("field").alias("fields"), F.count("*").alias("n")).filter((F.col("fields") >= 2) & (F.col("n") >= least))
 
 
@@ -92,3 +102,16 @@ def _product(xs) -> float:
     for x in xs:
         out *= x
     return out
+
+
+def read_payloads(df: DataFrame, column: str, schema: str, vocabulary: dict[str, Sequence[str]]) -> DataFrame:
+    """A column of JSON as columns of their own. A text that is no JSON of the schema, or a value outside its field's
+    vocabulary, fails the job."""
+    read = F.from_json(column, schema, {"mode": "PERMISSIVE"})
+    fields = [f.split()[0] for f in schema.split(", ")]
+    out = df.withColumn("_p", read)
+    bad = F.col(column).isNotNull() & (F.col("_p").isNull() | F.try_parse_json(column).isNull())
+    for field, known in vocabulary.items():
+        bad = bad | F.coalesce(~F.upper(F.col("_p")[field]).isin(*known), F.lit(False))
+    checked = F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.concat(F.lit("unreadable payload: "), F.substring(column, 1, 100))).cast("boolean")).otherwise(True)
+    return out.filter(checked).select(*[c for c in df.columns if c != column], *[F.col("_p")[f].alias(f) for f in fields])

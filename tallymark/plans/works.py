@@ -306,7 +306,7 @@ _TERMS = """tt AS (SELECT DISTINCT ktext AS t FROM k0 WHERE ktext <> ''), ww AS
 
 
 def _texts(spark, sf_dir):
-    return materialize(cleaned(spark, sf_dir).select("record_id", "district", text.work_text(F.col("work_name"), delimiters=peers.PLACES, extra=peers.ACTIONS).alias("text"), "date_approval"), "texts")
+    return materialize(cleaned(spark, sf_dir).select("record_id", "district", "status", text.work_text(F.col("work_name"), delimiters=peers.PLACES, extra=peers.ACTIONS).alias("text"), "date_approval"), "texts")
 
 
 @query(rf"WITH {CLEAN}, k0 AS (SELECT *, {_KIND_TEXT} AS ktext FROM clean), {_TERMS} SELECT t AS text, term, round(weight, 7) AS weight FROM vec")
@@ -314,12 +314,12 @@ def tfidf(spark, sf_dir):
     return duplicates.tfidf(_texts(spark, sf_dir), "text").withColumn("weight", F.round("weight", 7))
 
 
-@query(rf"""WITH {CLEAN}, k0 AS (SELECT *, {_KIND_TEXT} AS ktext FROM clean), words AS (SELECT district, unnest(string_split(ktext, ' ')) AS word FROM k0 WHERE ktext <> ''),
-    v AS (SELECT DISTINCT word FROM words WHERE district = 'bhishogaav'), c AS (SELECT word, count(*) AS c FROM words GROUP BY word)
+@query(rf"""WITH {CLEAN}, k0 AS (SELECT *, {_KIND_TEXT} AS ktext FROM clean), words AS (SELECT status, unnest(string_split(ktext, ' ')) AS word FROM k0 WHERE ktext <> ''),
+    v AS (SELECT DISTINCT word FROM words WHERE status = 'completed'), c AS (SELECT word, count(*) AS c FROM words GROUP BY word)
     SELECT round(count(*) FILTER (v.word IS NULL) / count(*), 7) AS unseen_distinct, round(coalesce(sum(c) FILTER (v.word IS NULL), 0) / sum(c), 7) AS unseen_weighted FROM c LEFT JOIN v USING (word)""")
 def vocabulary_drift(spark, sf_dir):
     texts = _texts(spark, sf_dir)
-    vocabulary = texts.filter("district = 'bhishogaav'").select(F.explode(F.filter(F.split("text", " "), lambda w: w != "")).alias("word"))
+    vocabulary = texts.filter("status = 'completed'").select(F.explode(F.filter(F.split("text", " "), lambda w: w != "")).alias("word"))
     return duplicates.drift(texts, vocabulary, "text").select(*[F.round(c, 7).alias(c) for c in ("unseen_distinct", "unseen_weighted")])
 
 
@@ -478,6 +478,13 @@ def audit_hashes(spark, sf_dir):
     return f.select("audit_id", F.sha2(payload, 256).alias("input_hash"))
 
 
+@query("""SELECT audit_id, district, severity FROM audit_findings WHERE audit_id IS NOT NULL""")
+def audit_payloads(spark, sf_dir):
+    """The payloads written as canonical JSON and read again; a severity outside the vocabulary is an error."""
+    f = table(spark, sf_dir, "audit_findings", "audit_id", "district", "severity").filter("audit_id IS NOT NULL")
+    return reports.read_payloads(f.select("audit_id", F.to_json(F.struct("district", "severity"), {"ignoreNullFields": "false"}).alias("payload")), "payload", "district string, severity string", {"severity": ("HIGH", "MEDIUM", "LOW", "UNKNOWN")})
+
+
 # ---- entities, reports, windows ----------------------------------------------------------------------------------------
 @query()
 def work_entities(spark, sf_dir):
@@ -490,12 +497,27 @@ def fuzzy_firms(spark, sf_dir):
     return entities.fuzzy_firms(materialize(matching.vendor_entities(works(spark, sf_dir)), "firms"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {CLEAN}, k0 AS (SELECT record_id, district, date_approval AS day, {_FULL_TEXT} AS ktext FROM clean), {_TERMS},
+    x AS (SELECT record_id, district, day, term, weight FROM k0 JOIN vec ON ktext = t WHERE district IS NOT NULL AND day IS NOT NULL),
+    p AS (SELECT a.record_id AS a, b.record_id AS b, sum(a.weight * b.weight) AS c, any_value(abs(a.day - b.day)) AS days FROM x a JOIN x b ON a.district = b.district AND a.term = b.term AND a.record_id < b.record_id GROUP BY 1, 2),
+    e AS MATERIALIZED (SELECT a, b FROM p WHERE c * exp(-days / 180) >= 0.85), s AS MATERIALIZED (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e),
+    r(x, y) AS (SELECT u, least(u, v) FROM s UNION SELECT s.v, r.y FROM r JOIN s ON s.u = r.x WHERE r.y < s.v)
+    SELECT x AS node, min(y) AS head FROM r GROUP BY x""")
 def duplicate_groups(spark, sf_dir):
     return groups.components(_duplicate_scores(spark, sf_dir))
 
 
-@query()
+_IS = lambda table: "CASE " + " ".join(f"WHEN regexp_matches(p, '{v}') THEN '{k}'" for k, v in table.items()) + " END"
+_RS = r"(?i)(?:₹|inr|rs\.?)\s*(\d[\d,]*(?:\.\d+)?)"
+_UNIT = rf"lower(regexp_extract(p, '{_RS}(?:\s*(crore|cr|lakh|lac|million|thousand)s?\b)?', 2))"
+_MONEY = f"try_cast(replace(regexp_extract(p, '{_RS}', 1), ',', '') AS DOUBLE)"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, string_split_regex(text, '\n\s*\n') AS ps FROM documents WHERE text IS NOT NULL), q AS (SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps))) AS n FROM d),
+    x AS (SELECT doc_id, n, p, {_IS(reports.ISSUES)} AS issue, {_IS(reports.SEVERITIES)} AS severity, {_UNIT} AS unit, {_MONEY} AS money FROM q WHERE length(p) >= 40)
+    SELECT doc_id, n::INT AS n, issue, severity, CASE WHEN unit IN ('crore', 'cr') THEN money * 1e7 WHEN unit IN ('lakh', 'lac') THEN money * 1e5 WHEN unit = 'million' THEN money * 1e6 WHEN unit = 'thousand' THEN money * 1e3
+        WHEN money >= 1000 THEN money END AS amount, coalesce(try_cast(regexp_extract(p, '(?:^|[^0-9])((?:19|20)[0-9]{{2}})[-/][0-9]{{2}}', 1) AS INT), try_cast(regexp_extract(p, '(?:^|[^0-9])((?:19|20)[0-9]{{2}})(?:[^0-9]|$)', 1) AS INT)) AS year
+    FROM x WHERE issue IS NOT NULL""")
 def audit_paragraphs(spark, sf_dir):
     return reports.paragraphs(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -508,8 +530,9 @@ def findings_multi_hot(spark, sf_dir):
 _LEX = ("work_name", "district", "state", "implementing_agency", "vendor_name", "status", "date_approval")
 
 
-@query(f"""WITH c AS ({" UNION ALL ".join(f"SELECT '{c}' AS field, lower(trim({c})) AS token FROM synthetic_dataset" for c in _LEX)})
-    SELECT token, count(DISTINCT field) AS fields, count(*) AS n FROM c WHERE length(token) <= 14 AND NOT regexp_matches(token, '[1-9]') GROUP BY token HAVING count(DISTINCT field) >= 2 AND count(*) >= 10""")
+@query(rf"""WITH c AS ({" UNION ALL ".join(f"SELECT '{c}' AS field, lower(trim({c})) AS token FROM synthetic_dataset" for c in _LEX)})
+    SELECT token, count(DISTINCT field) AS fields, count(*) AS n FROM c WHERE length(token) <= 14 AND (NOT regexp_matches(token, '[0-9]')
+        OR (regexp_full_match(token, '[0\W_]+') AND NOT regexp_full_match(replace(replace(token, ',', ''), ' ', ''), '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)'))) GROUP BY token HAVING count(DISTINCT field) >= 2 AND count(*) >= 10""")
 def nullish_lexicon(spark, sf_dir):
     return reports.nullish_lexicon(works(spark, sf_dir), _LEX)
 
