@@ -18,8 +18,8 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialize(small, "stars")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
+        last, edges = edges, materialize(small, "stars")
+        now = edges.count()
+        if now == before and edges.join(last, ["u", "v"], "left_anti").isEmpty():  # as many edges and none of them new
             return edges.select(F.col("u").alias("node"), F.col("v").alias("head")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("head")).distinct())
         before = now

@@ -14,6 +14,7 @@ from tallymark.operators.anomaly import _average_ranks, percentile_rank
 from tallymark.operators.cleaning import AMOUNTS, DATES, FIELDS, cells
 from tallymark.operators.confidence import WEIGHTS
 from tallymark.operators.quantile import exact_quantiles
+from tallymark.runtime import materialize
 
 # Names and percentile floors of the bands of a risk, and its levels with their limits.
 BAND_FLOORS = (("TOP_1_PERCENT", 99.0), ("TOP_5_PERCENT", 95.0), ("HIGH", 75.0), ("MEDIUM", 25.0), ("LOW", 0.0))
@@ -259,3 +260,42 @@ def places_named(documents: DataFrame, places: DataFrame, doc: str = "doc_id", t
 def work_group_context(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, group_size, conflict): records of each key and whether they differ in ``value``; null keys are one group."""
     return df.groupBy(key).agg(F.count("*").alias("group_size"), (F.count_distinct(value) > 1).alias("conflict"))
+
+
+def conflicting_records(df: DataFrame, key: str, value: str) -> DataFrame:
+    """The records whose key stands with different values, by a semi join; null keys do not conflict."""
+    clash = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count_distinct(value).alias("_d")).filter("_d > 1").select(key)
+    return df.join(clash, key, "left_semi")
+
+
+def usable_channels(labels: DataFrame, label: str, total: int, least: int = 50, most: float = 0.5) -> DataFrame:
+    """(label, n): the classes with enough members that do not make up more than ``most`` of all."""
+    return labels.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n")).filter((F.col("n") >= least) & (F.col("n") <= most * F.lit(total)))
+
+
+def character_terms(text: Column) -> Column:
+    """Runs of two to four characters inside words that have a blank put on either side; a shorter word counts once whole."""
+    words = F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    runs = lambda w, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - n + 1)), lambda i: F.substring(w, i, F.lit(n)))
+    each = lambda w: F.concat(runs(w, 2), F.when(F.length(w) >= 3, runs(w, 3)).otherwise(F.array().cast("array<string>")), F.when(F.length(w) >= 4, runs(w, 4)).otherwise(F.array().cast("array<string>")))
+    return F.flatten(F.transform(words, each))
+
+
+def character_tfidf(texts: DataFrame, text: str, least: int = 2, most: int = 20_000) -> DataFrame:
+    """(text, term, weight) over the ``most`` commonest character runs held by ``least`` texts or more, as ``duplicates.tfidf``."""
+    whole = texts.select(F.col(text).alias("text")).filter("trim(text) != ''").distinct()
+    tf = whole.select("text", F.explode(character_terms(F.col("text"))).alias("term")).groupBy("text", "term").agg(F.count("*").alias("c"))
+    tf = materialize(tf, "character-runs")
+    df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("c").alias("total")).filter(F.col("df") >= least).orderBy(F.desc("total"), "term").limit(most)  # the vocabulary: a fixed size
+    n = whole.agg(F.count("*").alias("n"))
+    raw = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(n)).select("text", "term", (F.col("c") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))  # n is one row
+    norm = raw.groupBy("text").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return raw.join(norm, "text").select("text", "term", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def decision_json(risky: DataFrame, key: str = "record_id") -> DataFrame:
+    """(key, body): what is known of a record as one nested JSON text with fixed names; nulls are kept."""
+    body = F.struct(
+        F.struct("confidence", *COMPONENTS).alias("confidence"), F.struct("severity", "anomaly_types").alias("findings"), F.col(key).alias("record_id"), F.struct("risk", "risk_reason").alias("risk"),
+    )
+    return risky.select(key, F.to_json(body, {"ignoreNullFields": "false"}).alias("body"))

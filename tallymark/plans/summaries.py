@@ -225,3 +225,44 @@ def head(spark, sf_dir):
 def records_without_norm(spark, sf_dir):
     r = summaries.of_class(risky(spark, sf_dir), "risk_reason", "no_peer_norm", ("ok", "confidence_below_gate", "severity_undefined", "no_peer_norm"))
     return r.select("record_id", "risk_reason")
+
+
+@query(f"""WITH {CLEAN}, x AS (SELECT work_id FROM clean WHERE work_id IS NOT NULL GROUP BY work_id HAVING count(DISTINCT district) > 1) SELECT record_id, work_id, district FROM clean WHERE work_id IN (SELECT work_id FROM x)""")
+def conflicting_works(spark, sf_dir):
+    return summaries.conflicting_records(cleaned(spark, sf_dir).select("record_id", "work_id", "district"), "work_id", "district")
+
+
+@query("""SELECT issue_type, count(*) AS n FROM audit_findings WHERE issue_type IS NOT NULL GROUP BY 1 HAVING count(*) >= 50 AND count(*) <= 0.5 * (SELECT count(*) FROM audit_findings)""")
+def usable_channels(spark, sf_dir):
+    f = table(spark, sf_dir, "audit_findings", "issue_type")
+    return summaries.usable_channels(f, "issue_type", f.count())
+
+
+@query(f"""{TO_SCORED} SELECT record_id, round(completeness, 7) AS completeness, round(temporal, 7) AS temporal, round(reconciliation, 7) AS reconciliation, temporal_defined, branch <> 'both_null' AS reconciliation_defined,
+    1 + temporal_defined::INT + (branch <> 'both_null')::INT AS n_components_used, pairs AS temporal_pairs, hard_fail AS temporal_hard_fail, branch AS reconciliation_branch, lifecycle_state, round(spend_ratio, 6) AS spend_ratio,
+    {" + ".join(f"(null_reason__{f} = 'present')::INT" for f in cleaning.FIELDS)} AS n_valid_fields, {" + ".join(f"(null_reason__{f} <> 'present')::INT" for f in w.confidence.CRITICAL)} AS critical_missing_count,
+    round(({" + ".join(f"1 - ({w._CREDIT(f)})" for f in w.confidence.CRITICAL)})::DOUBLE, 6) AS critical_deficit, round(exp(-0.35 * greatest(0, {" + ".join(f"1 - ({w._CREDIT(f)})" for f in w.confidence.CRITICAL)} - 1)), 6) AS cluster_penalty_factor FROM scored""")
+def confidence_breakdown(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    missing = sum((F.col(f"null_reason__{f}") != "present").cast("int") for f in w.confidence.CRITICAL)
+    used = 1 + F.col("temporal_defined").cast("int") + F.col("reconciliation_defined").cast("int")
+    factor = F.exp(-w.confidence.DEFICIT_RATE * F.greatest(F.lit(0.0), F.col("critical_deficit") - 1))
+    return s.select(
+        "record_id", *[F.round(c, 7).alias(c) for c in summaries.COMPONENTS], "temporal_defined", "reconciliation_defined", used.alias("n_components_used"), "temporal_pairs", "temporal_hard_fail", "reconciliation_branch",
+        "lifecycle_state", F.round("spend_ratio", 6).alias("spend_ratio"), "n_valid_fields", missing.alias("critical_missing_count"), F.round("critical_deficit", 6).alias("critical_deficit"), F.round(factor, 6).alias("cluster_penalty_factor"),
+    )
+
+
+@query("""WITH t AS (SELECT DISTINCT trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS t FROM entity_register), w AS (SELECT t, ' ' || unnest(string_split(t, ' ')) || ' ' AS w FROM t WHERE t <> ''),
+    g AS (SELECT t, w[i : i + n - 1] AS term FROM w, unnest([2, 3, 4]) k(n), unnest(range(1, greatest(2, length(w) - n + 2))) u(i) WHERE n = 2 OR length(w) >= n),
+    c AS (SELECT t, term, count(*) AS c FROM g GROUP BY ALL), d AS (SELECT term, count(*) AS df, sum(c) AS total FROM c GROUP BY term HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 20000),
+    r AS (SELECT t, term, c * (ln((1 + (SELECT count(*) FROM t WHERE t <> '')) / (1 + df)) + 1) AS w FROM c JOIN d USING (term)), v AS (SELECT t, term, w / sqrt(sum(w * w) OVER (PARTITION BY t)) AS weight FROM r)
+    SELECT t AS text, term, round(weight, 7) AS weight FROM v""")
+def character_tfidf(spark, sf_dir):
+    names = table(spark, sf_dir, "entity_register", "name").select(F.trim(F.regexp_replace(F.lower("name"), "[^a-z0-9]+", " ")).alias("t"))
+    return _round(summaries.character_tfidf(names, "t"), 7, "weight")
+
+
+@query()
+def decision_bodies(spark, sf_dir):
+    return summaries.decision_json(risky(spark, sf_dir))

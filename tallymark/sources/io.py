@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import os
 import re
 from collections.abc import Sequence
@@ -42,18 +43,19 @@ def with_record_ids(df: DataFrame, name: str = "record_id") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8") -> tuple[DataFrame, DataFrame]:
+def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8", multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows, quarantine) of a file with a header, every value as text. A row with more or fewer fields than the header
-    goes to the quarantine with its number of fields and the first 200 characters."""
+    goes to the quarantine with its number of fields and the first 200 characters. multi_line: quoted fields may hold line
+    breaks, for which a file has to be one task; without, large files are split."""
     head = spark.read.option("encoding", encoding).text(path).limit(1).collect()
     if not head or not head[0][0].strip():
         empty = T.StructType([T.StructField(f, T.StringType()) for f in FIELDS])
         return spark.createDataFrame([], empty), spark.createDataFrame([], "kind string, n_fields int, preview string")
     labels = spark.read.csv(spark.sparkContext.parallelize([head[0][0].lstrip("﻿")]), sep=sep).collect()[0]
     schema = T.StructType([T.StructField(str(c), T.StringType()) for c in labels] + [T.StructField(CORRUPT, T.StringType())])
-    options = {"header": True, "sep": sep, "encoding": encoding, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "quote": '"', "escape": '"', "multiLine": True, "nullValue": "\u0000", "emptyValue": "", "enforceSchema": True}
+    options = {"header": True, "sep": sep, "encoding": encoding, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "quote": '"', "escape": '"', "multiLine": multi_line, "nullValue": "\u0000", "emptyValue": "", "enforceSchema": True}
     read = materialize(spark.read.schema(schema).options(**options).csv(path), "csv")  # the text is parsed once for both results
-    bad = read.filter(F.col(CORRUPT).isNotNull()).select(F.lit("column_count").alias("kind"), F.size(F.split(CORRUPT, re.escape(sep))).alias("n_fields"), F.substring(CORRUPT, 1, 200).alias("preview"))
+    bad = read.filter(F.col(CORRUPT).isNotNull()).select(F.lit("column_count").alias("kind"), F.size(F.split(F.regexp_replace(CORRUPT, '"(?:[^"]|"")*"', "q"), re.escape(sep))).alias("n_fields"), F.substring(CORRUPT, 1, 200).alias("preview"))
     return read.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), bad
 
 
@@ -109,6 +111,21 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     canonical_json(df).write.mode("append" if append else "overwrite").text(path)
 
 
+def write_report(df: DataFrame, path: str, key: str, most: int = 10_000) -> None:
+    """A small report as one JSON file on the shared file system: rows by key, sorted names, not-a-number and infinities as
+    text. More than ``most`` rows are an error."""
+    rows = df.orderBy(key).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    plain = lambda x: str(x) if isinstance(x, float) and not math.isfinite(x) else x
+    held = json.dumps([{k: plain(v) for k, v in r.asDict(recursive=True).items()} for r in rows], sort_keys=True, indent=2, ensure_ascii=False, default=str) + "\n"
+    spark = df.sparkSession
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = there.getFileSystem(spark._jsc.hadoopConfiguration()).create(there, True)
+    out.write(bytearray(held.encode("utf-8")))
+    out.close()
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A log of JSON lines; a log that is not there is empty."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)

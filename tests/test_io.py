@@ -108,7 +108,7 @@ def test_work_entities_of_more_than_fifty_deliveries(spark):
 def test_work_entities_look_at_all_names_of_a_group(spark):
     chain = ["pqrs tuvw xyza bcde fghi jklm nopq", "pqrs tuvw xyza bcde fghi", "xyza bcde fghi jklm nopq"]
     got = entities.work_entities(_deliveries(spark, [(n, 100.0) for n in chain])).collect()
-    assert {(r.group_size, r.consistency, tuple(r.conflicting)) for r in got} == {(3, "CONFLICTING", ("work_name",))}
+    assert {(r.group_size, r.consistency, tuple(r.conflicting)) for r in got} == {(3, "CONFLICTING", ("scheme:UNVERIFIABLE", "work_name"))}
 
 
 def test_fuzzy_firms_against_brute_force(spark, monkeypatch):
@@ -137,3 +137,22 @@ def test_agreement_weights(spark):
     data = [tuple(int(rng.random() < (0.95 if s else 0.05)) for _ in range(3)) for s in [1] * 300 + [0] * 700]
     m, u, share = reports.agreement_weights(spark.createDataFrame(data, "a int, b int, c int"), ["a", "b", "c"], 40)
     assert min(m) > 0.88 and max(u) < 0.12 and abs(share - 0.3) < 0.05
+
+
+def test_reports_are_canonical(spark, tmp_path):
+    import json
+
+    from tallymark.sources import io
+
+    df = spark.createDataFrame([("b", float("nan")), ("a", float("inf"))], "k string, v double")
+    io.write_report(df, str(tmp_path / "r.json"), "k")
+    held = (tmp_path / "r.json").read_text(encoding="utf-8")
+    assert json.loads(held) == [{"k": "a", "v": "inf"}, {"k": "b", "v": "nan"}] and held == json.dumps(json.loads(held), sort_keys=True, indent=2) + "\n"
+
+
+def test_quoted_separators_are_not_counted(spark, tmp_path):
+    from tallymark.sources import io
+
+    (tmp_path / "q.csv").write_text('work_id,work_name\n1,"a, b"\n2,"c, d",x\n', encoding="utf-8")
+    rows, bad = io.read_csv(spark, str(tmp_path / "q.csv"))
+    assert [r.work_name for r in rows.collect()] == ["a, b"] and [r.n_fields for r in bad.collect()] == [3]
