@@ -91,8 +91,9 @@ def explain_confidence(scored: DataFrame) -> DataFrame:
     refused = {c: defined[c] & (F.col(c) <= 0) for c in COMPONENTS}
     out = scored.withColumns({f"nats_{c}": nats[c] for c in COMPONENTS})
     total = reduce(lambda a, b: a + b, [F.coalesce(f"nats_{c}", F.lit(0.0)) for c in COMPONENTS])
-    most = F.greatest(*[F.col(f"nats_{c}") for c in COMPONENTS])
-    driver = F.coalesce(*[F.when(refused[c], c) for c in COMPONENTS], *[F.when(F.col(f"nats_{c}") == most, c) for c in COMPONENTS])
+    taken = {c: F.round(f"nats_{c}", 9) for c in COMPONENTS}  # of equals the first
+    most = F.greatest(*taken.values())
+    driver = F.coalesce(*[F.when(refused[c], c) for c in COMPONENTS], *[F.when(taken[c] == most, c) for c in COMPONENTS])
     shares = {f"share_{c}": F.when(F.col(f"nats_{c}").isNotNull(), F.when(total > 0, F.col(f"nats_{c}") / total).otherwise(0.0)) for c in COMPONENTS}
     return out.withColumns({**shares, "primary_driver": driver})
 
@@ -143,7 +144,7 @@ def cell_sizes(structured: DataFrame) -> DataFrame:
     sizes = structured.filter("kind IS NOT NULL").groupBy("kind", "stratum").agg(F.count("*").alias("size"), F.max("cell_stable").alias("stable"))
     base = sizes.agg(F.count("*").alias("cells"), F.count_if("stable").alias("stable_cells"), F.coalesce(F.sum(F.when(F.col("stable"), F.col("size"))), F.lit(0)).alias("in_stable"))
     q = exact_quantiles(sizes, [], "size", [0.5, 0.9, 0.95, 0.99]).drop("n").withColumnsRenamed({"q0": "p50", "q1": "p90", "q2": "p95", "q3": "p99"})
-    return base.crossJoin(F.broadcast(q))  # one row
+    return base.join(F.broadcast(q), F.lit(True), "left")  # one row, or none without cells
 
 
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
