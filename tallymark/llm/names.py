@@ -472,5 +472,12 @@ def link(records: DataFrame, register: DataFrame, fields: dict[str, str], key: s
             yield b[b["entity_id"].notna()]
 
     spellings = cells.groupBy("field", "text").agg(F.count("*").alias("n")).select("field", "text")
-    known = materialize(spellings.mapInPandas(resolve, "field string, text string, entity_id long"), "spellings")
+    # little data but much work: its partitions are not to be put together
+    spark, name = records.sparkSession, "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        known = materialize(spellings.mapInPandas(resolve, "field string, text string, entity_id long"), "spellings")
+    finally:
+        spark.conf.set(name, before)
     return cells.join(small_side(known, 20_000), ["field", "text"]).select(F.col("key").alias(key), "field", "entity_id")
