@@ -83,7 +83,7 @@ def missing_report(cleaned: DataFrame) -> DataFrame:
     kinds = ("present", "missing", "placeholder", "unparseable")
     one = cleaned.agg(F.count("*").alias("n"), *[F.count_if(F.col(f"null_reason__{f}") == k).alias(f"{f}__{k}") for f in FIELDS for k in kinds])
     rows = one.select("n", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), *[F.col(f"{f}__{k}").alias(k) for k in kinds]) for f in FIELDS])).alias("r")).select("r.*", "n")
-    return rows.select("field", *kinds, F.coalesce(F.try_divide((F.col("n") - F.col("present")) * 100.0, F.col("n")), F.lit(0.0)).alias("pct_null"))
+    return rows.select("field", *kinds, F.coalesce(F.try_divide((F.col("n") - F.col("present")) * 100.0, F.col("n")), F.lit(0.0)).alias("pct_null")).orderBy(F.desc("pct_null"), "field")
 
 
 def describe_amounts(cleaned: DataFrame) -> DataFrame:
