@@ -338,6 +338,25 @@ def test_a_fault_common_in_one_source_is_no_usage(spark):
     assert got == set(range(900, 1000))
 
 
+def test_sources_beyond_those_kept_apart_are_judged_without_their_own_faults_too(spark, monkeypatch):
+    line = "Le marché de travaux est clos. La façade du bâtiment est finie. On a noté les malfaçons et l’usure des lieux, jusqu’à la fin du mois de mai. La tête du pont et la sécurité du site."
+    swapped = line.encode("cp1252").decode("mac_roman")
+    data = [(i, f"Lot {i}. {line}", f"s{i % 3}") for i in range(400)] + [(900 + i, f"Lot {i}. {swapped}", "bad") for i in range(100)]
+    df = spark.createDataFrame([*data, (1000, None, "bad"), (1001, "plain", "x"), (1002, f"Lot 7. {line}", None)], "doc_id long, text string, source string")
+    found = lambda: sorted((r.doc_id, r.text) for r in mojibake.mended(df, source="source").collect())
+    want = found()
+    assert {i for i, _ in want} == set(range(900, 1000))
+    monkeypatch.setattr(mojibake, "SOURCES", 2)
+    monkeypatch.setattr(mojibake, "TOGETHER", 30)
+    assert found() == want
+
+
+def test_a_code_is_learned_behind_any_number_of_more_frequent_sequences(spark):
+    common = spark.range(100_001).selectExpr("lpad(conv(id, 10, 36), 4, '0') seq", "'é' char", "9L n", "true fit")
+    code = spark.createDataFrame([("Ⱡꜣ", "à", 3, True), ("Ⱡꜥ", "ç", 3, True), ("ⱠꜦ", "ê", 3, True), ("Ⱡꜧ", "ô", 3, False), ("ⱠꜨ", "ô", 2, True), ("Ⱡꜩ", "ô", 3, True), ("Ⱡꜩ", "û", 3, True)], common.schema)
+    assert mojibake.codes(common.unionByName(code)) == {"Ⱡꜣ": "à", "Ⱡꜥ": "ç", "ⱠꜦ": "ê"}
+
+
 def test_more_containers_than_the_bound_are_an_error(spark):
     sizes = spark.createDataFrame([("x", 5)], "doc_id string, tokens long")
     containers = spark.range(1001).selectExpr("cast(id as string) container", "10 capacity_tokens")
