@@ -12,8 +12,13 @@ is the size at which the sum of both costs, in nanoseconds, is least (``boundary
 estimated on ``PROBE`` names of the tile; should it be so often that a scan is cheaper (large families of copies), all sets of
 the tile are scanned. Either way every pair is found; no list is capped and nothing is left out for being frequent.
 
-In both ways sizes and 192-bit sketches leave few pairs before the exact count. Two sketches differ in at most as many bits as
-the sets in elements, so a pair of sketches too far apart is dropped without loss.
+The scan takes 64 sets in one machine word. Of the sets of a part of the tile (``PART``) there is a bitmap for each substring:
+which of them have it. If y is to be alike, at most d = |x| - ceil(t / (1 + t) * (|x| + |y|)) elements of x are not in y. So of
+d + 1 groups of elements of x, without common elements, y has at least one whole; which sets do is an *or* over groups of an
+*and* over their elements. The groups are made of the rarest elements, as deep as their frequencies ask for.
+
+In both ways sizes and sketches of 192 and then 1,024 bits leave few pairs before the exact count. Two sketches differ in at most
+as many bits as the sets in elements, so a pair of sketches too far apart is dropped without loss.
 
 Copies of one name in one block are one class, joined once; pairs of records are expanded only at the end.
 
@@ -31,13 +36,16 @@ from pyspark.sql import functions as F
 from tallymark.runtime import is_placeholder, materialize, small_side
 
 THRESHOLD = 0.65
-#: Names in a chunk; pairs counted exactly at a time; subsets held at a time.
-CHUNK, AT_ONCE, SUBSETS = 32_768, 1 << 14, 1 << 22
+#: Names in a chunk; pairs counted exactly at a time; subsets held at a time; names whose substrings are listed at a time.
+CHUNK, AT_ONCE, SUBSETS, SLICE = 196_608, 1 << 14, 1 << 22, 1 << 13
+#: Sets in a part that is scanned at once; words of the bitmaps worked on at a time; share of the pairs a scan may leave, were
+#: the elements independent, before its groups are made deeper.
+PART, WORDS, LEFT = 4096, 1 << 16, 3e-4
 #: Nanoseconds to scan one pair, to enumerate one subset, to look at one pair of sets in a subset, measured; and the names on
 #: which a tile's share of meeting pairs is estimated. They decide which way is taken, not what is found.
-SCAN_NS, SUBSET_NS, MEET_NS, PROBE = 5.0, 150.0, 40.0, 256
-SKETCH = ("s0", "s1", "s2")
-_BITS = 64 * len(SKETCH)
+SCAN_NS, SUBSET_NS, MEET_NS, PROBE = 1.1, 150.0, 40.0, 256
+#: 64-bit words of the first and the second sketch.
+SKETCHES = (3, 16)
 
 
 def normal_name(name: Column) -> Column:
@@ -55,25 +63,16 @@ def _substring_codes(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return key >> 24, key & 0xFFFFFF
 
 
-def sketches(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes of the substring sets, and their sketches as n x 3 int64."""
-    which, codes = _substring_codes(names) if names else (np.array([], np.int64), np.array([], np.int64))
-    bits = np.zeros((len(names), _BITS), bool)
-    bits[which, (codes * 0x9E3779B1 >> 7) % _BITS] = True
-    return np.bincount(which, minlength=len(names)), np.packbits(bits, axis=1).view(np.int64)
+def _sketch(n: int, which: np.ndarray, codes: np.ndarray, words: int) -> np.ndarray:
+    bits = np.zeros((n, 64 * words), bool)
+    bits[which, (codes * 0x9E3779B1 >> 7) % (64 * words)] = True
+    return np.packbits(bits, axis=1).view(np.int64)
 
 
-def substring_sets(names: list[str]) -> np.ndarray:
-    """The substring sets as rows of bits, exactly: a bit for each substring in use."""
+def sketches(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the substring sets, and their sketches as n x 3 int64."""
     which, codes = _substring_codes(names) if names else (np.array([], np.int64), np.array([], np.int64))
-    kinds, codes = np.unique(codes, return_inverse=True)
-    width, starts = -(-len(kinds) // 64) * 64, np.searchsorted(which, np.arange(0, len(names) + 1024, 1024))
-    rows = []
-    for k, (i, j) in enumerate(zip(starts, starts[1:])):
-        bits = np.zeros((min(1024, len(names) - 1024 * k), width), bool)
-        bits[which[i:j] - 1024 * k, codes[i:j]] = True
-        rows.append(np.packbits(bits, axis=1).view(np.uint64))
-    return np.concatenate(rows) if rows else np.zeros((0, 0), np.uint64)
+    return np.bincount(which, minlength=len(names)), _sketch(len(names), which, codes, SKETCHES[0])
 
 
 def _beginnings(sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -98,61 +97,148 @@ class Sets:
     """The substring sets of a tile's names, ordered by size; left: which of them come from the first of two chunks."""
 
     def __init__(self, names: list[str], side: np.ndarray, threshold: float):
-        n, s = sketches(names)
-        self.threshold, self.names = threshold, names
-        self.order = np.argsort(n, kind="stable")
-        self.sizes, self.words = n[self.order], np.ascontiguousarray(s[self.order].view(np.uint64).T)
+        n, self.threshold, self.names = len(names), threshold, names
+        sizes, sketched = np.zeros(n, np.int64), [np.zeros((n, words), np.int64) for words in SKETCHES]
+        self.often, parts = np.zeros(1 << 21, np.int64), []
+        for k in range(0, n, SLICE):
+            some = names[k : k + SLICE]
+            which, codes = _substring_codes(some)
+            sizes[k : k + SLICE] = np.bincount(which, minlength=len(some))
+            for words, to in zip(SKETCHES, sketched):
+                to[k : k + SLICE] = _sketch(len(some), which, codes, words)
+            codes = codes >> 16 << 14 | (codes >> 8 & 127) << 7 | codes & 127
+            self.often += np.bincount(codes, minlength=len(self.often))
+            parts.append(codes.astype(np.int32))
+        self.parts, self._ranks = parts, None
+        self.order = np.argsort(sizes, kind="stable")
+        self.begins = np.concatenate([[0], np.cumsum(sizes)])[self.order]
+        self.sizes = sizes[self.order]
+        self.words, self.more = (np.ascontiguousarray(x[self.order].view(np.uint64).T) for x in sketched)
         self.left = side[self.order] == (side.min() if len(side) else 0)
         self.two = bool(len(side)) and not self.left.all()
-        self._bitmaps: np.ndarray | None = None
 
-    def bitmaps(self) -> np.ndarray:
-        if self._bitmaps is None:
-            self._bitmaps = substring_sets([self.names[i] for i in self.order])
-        return self._bitmaps
+    def ranked(self) -> tuple[np.ndarray, np.ndarray]:
+        """The elements of all sets as ranks, each set's rarest first, at ``begins``; and the share of the sets that have each."""
+        if self._ranks is not None:
+            return self._ranks
+        kinds = np.flatnonzero(self.often)
+        kinds = kinds[np.argsort(self.often[kinds], kind="stable")]
+        place = np.zeros(len(self.often), np.int64)
+        place[kinds] = np.arange(len(kinds))
+        ranks, sizes = [np.zeros(0, np.uint16 if len(kinds) <= 1 << 16 else np.uint32)], np.empty_like(self.sizes)
+        sizes[self.order] = self.sizes
+        for k, codes in enumerate(self.parts):
+            which = np.repeat(np.arange(SLICE), np.pad(sizes[k * SLICE : (k + 1) * SLICE], (0, max(0, SLICE * (k + 1) - len(sizes)))))
+            ranks.append((np.sort(which << 21 | place[codes]) & ((1 << 21) - 1)).astype(ranks[0].dtype))
+        self.parts, self._ranks = [], (np.concatenate(ranks), self.often[kinds] / max(1, len(sizes)))
+        return self._ranks
+
+    def _elements(self, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number in ``sets``, rank) of the elements of some sets."""
+        n = self.sizes[sets]
+        at = np.repeat(self.begins[sets] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        return np.repeat(np.arange(len(sets)), n), self.ranked()[0][at]
 
     def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Which pairs the sizes and sketches leave."""
-        bits = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int16) for w in self.words)
-        return bits <= (self.sizes[i] + self.sizes[j]) * ((1 - self.threshold) / (1 + self.threshold)) + 1e-6
+        most = (self.sizes[i] + self.sizes[j]) * ((1 - self.threshold) / (1 + self.threshold)) + 1e-6
+        ok = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int16) for w in self.words) <= most
+        at = np.flatnonzero(ok)
+        ok[at] = sum(np.bitwise_count(w[i[at]] ^ w[j[at]]).astype(np.int16) for w in self.more) <= most[at]
+        return ok
 
     def count(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(i, j, likeness) of the pairs at the threshold, counted exactly."""
-        out, sets = [], self.bitmaps()
+        out, width = [], -(-len(self.ranked()[1]) // 64) * 64
         for k in range(0, len(i), AT_ONCE):
             a, b = i[k : k + AT_ONCE], j[k : k + AT_ONCE]
-            both = np.bitwise_count(sets[a] & sets[b]).sum(axis=1, dtype=np.int64)
+            both = np.zeros(len(a), np.int64)
+            for m in range(0, len(a), 1024):
+                used, at = np.unique(np.concatenate([a[m : m + 1024], b[m : m + 1024]]), return_inverse=True)
+                bits = np.zeros((len(used), width), bool)
+                bits[self._elements(used)] = True
+                sets, half = np.packbits(bits, axis=1).view(np.uint64), len(at) // 2
+                both[m : m + 1024] = np.bitwise_count(sets[at[:half]] & sets[at[half:]]).sum(axis=1, dtype=np.int64)
             value = both / (self.sizes[a] + self.sizes[b] - both)
             ok = value >= self.threshold
             out.append((a[ok], b[ok], value[ok]))
         return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.array([], np.int64), np.array([], np.int64), np.array([], float))
 
     def scan(self, first: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (i, j), i < j, whose larger set j is at ``first`` or behind, by holding it against all smaller ones."""
-        n, t = len(self.sizes), self.threshold
-        x, total, part = np.empty(n, np.uint64), np.empty(n, np.uint8), np.empty(n, np.uint8)
-        low = np.searchsorted(self.sizes, self.sizes * t - 1e-6).tolist()
-        limits: dict[int, np.ndarray] = {}
-        rows, columns = [], []
-        for j, m in enumerate(self.sizes[first:].tolist(), first):
-            lo = low[j]
-            if lo >= j:
-                continue
-            if m not in limits:
-                limits[m] = np.minimum((m + self.sizes) * ((1 - t) / (1 + t)) + 1e-6, _BITS).astype(np.uint8)
-            y, c, p = x[: j - lo], total[: j - lo], part[: j - lo]
-            for w, word in enumerate(self.words):
-                np.bitwise_xor(word[lo:j], word[j], out=y)
-                np.bitwise_count(y, out=p if w else c)
-                if w:
-                    np.add(c, p, out=c)
-            found = np.flatnonzero(c <= limits[m][lo:j])
-            if self.two and len(found):
-                found = found[self.left[lo + found] != self.left[j]]
-            if len(found):
-                rows.append(lo + found)
-                columns.append(np.full(len(found), j))
-        return (np.concatenate(rows), np.concatenate(columns)) if rows else (np.array([], np.int64), np.array([], np.int64))
+        """Pairs (i, j), i < j, whose larger set j is at ``first`` or behind, by holding parts of these against all smaller ones."""
+        if first >= len(self.sizes):
+            return np.array([], np.int64), np.array([], np.int64)
+        ranks, share = self.ranked()
+        sides = [np.flatnonzero(self.left), np.flatnonzero(~self.left)]
+        found = [(np.array([], np.int64), np.array([], np.int64))]
+        for xs, ys in (sides, sides[::-1]) if self.two else ((sides[0], sides[0]),):
+            ys, sizes = ys[ys >= first], self.sizes[ys[ys >= first]]
+            lo = 0
+            while lo < len(ys):  # sets of about the same size
+                hi = min(lo + PART, int(np.searchsorted(sizes, sizes[lo] * 1.1, "right")))
+                self._scan_part(xs, ys[lo:hi], ranks, share, found)
+                lo = hi
+        return tuple(np.concatenate(c) for c in zip(*found))
+
+    def _bitmaps(self, ys: np.ndarray, kinds: int) -> np.ndarray:
+        """For each substring which of ys have it, 64 in a word."""
+        out = np.zeros((kinds, -(-len(ys) // 64)), np.uint64)
+        for k in range(0, len(ys), 512):
+            some = ys[k : k + 512]
+            which, rank = self._elements(some)
+            bits = np.zeros((kinds, -(-len(some) // 64) * 64), bool)
+            bits[rank, which] = True
+            out[:, k // 64 : k // 64 + bits.shape[1] // 64] = np.packbits(bits, axis=1, bitorder="little").view("<u8")
+        return out
+
+    def _scan_part(self, xs: np.ndarray, ys: np.ndarray, ranks: np.ndarray, share: np.ndarray, found: list) -> None:
+        """Adds the pairs (x, y), x < y, that have enough elements in common; groups of elements and the sketches leave few to count."""
+        t, least = self.threshold, int(self.sizes[ys[0]])
+        sizes = self.sizes[xs]
+        u, end = int(np.searchsorted(sizes, least * t - 1e-6)), int(np.searchsorted(xs, ys[-1]))
+        if u >= end:
+            return
+        has = self._bitmaps(ys, len(share))
+        width = has.shape[1]
+        step = max(1, min(PART, WORDS // width))
+        one, two, some = (np.empty((step, width), np.uint64) for _ in range(3))
+        while u < end:
+            v = min(u + step, end, int(np.searchsorted(sizes, sizes[u] * 1.06, "right")))
+            # so many elements of the largest x may be missing in the smallest y, and one more
+            groups = int(sizes[v - 1] - np.ceil(t / (1 + t) * (sizes[v - 1] + least) - 1e-9)) + 1
+            if groups > 0:
+                begins = self.begins[xs[u:v]]
+                # group g takes every second time the next, every other time the last of the next elements, so that rare ones meet frequent ones
+                order = lambda depth: np.concatenate([np.arange(groups)[:: -1 if k % 2 else 1] + k * groups for k in range(depth)])
+                deepest = max(1, int(sizes[u]) // groups)
+                shares = share[ranks[begins[: 64 : 8, None] + order(min(deepest, 8))]].reshape(-1, min(deepest, 8), groups)
+                enough = np.flatnonzero(shares.cumprod(axis=1).sum(axis=2).mean(axis=0) <= LEFT)
+                depth = int(enough[0]) + 1 if len(enough) else min(deepest, 8)
+                rows = ranks[order(depth)[:, None] + begins].astype(np.intp).reshape(depth, groups, v - u)
+                a, b, hits = one[: v - u], two[: v - u], some[: v - u]
+                hits[:] = 0
+                for g in range(groups):
+                    has.take(rows[0, g], axis=0, out=a, mode="clip")
+                    for k in range(1, depth):
+                        has.take(rows[k, g], axis=0, out=b, mode="clip")
+                        np.bitwise_and(a, b, out=a)
+                    np.bitwise_or(hits, a, out=hits)
+                flat = hits.reshape(-1)
+                at = np.flatnonzero(flat)
+                bit = np.flatnonzero(np.unpackbits(flat[at].astype("<u8", copy=False).view(np.uint8), bitorder="little").view(bool))
+                at, bit = at[bit >> 6], bit & 63
+                i, y = xs[u + at // width], at % width * 64 + bit
+                ok = np.flatnonzero(i < ys[y])
+                ok = ok[self.near(i[ok], ys[y[ok]])]
+                for k in range(0, len(ok), AT_ONCE):  # those left are counted in the bitmaps
+                    p, q = i[ok[k : k + AT_ONCE]], y[ok[k : k + AT_ONCE]]
+                    which, rank = self._elements(p)
+                    both = np.bincount(which[has[rank, q[which] >> 6] >> (q[which] & 63).astype(np.uint64) & np.uint64(1) == 1], minlength=len(p))
+                    q = ys[q]
+                    reach = both >= (self.sizes[p] + self.sizes[q]) * (t / (1 + t)) - 1e-6
+                    if reach.any():
+                        found.append((p[reach], q[reach]))
+            u = v
 
     def meetings(self) -> int:
         """How often two sets meet in a subset."""

@@ -85,6 +85,25 @@ def test_a_sketch_never_hides_a_pair():
     assert n == len(x) and int(np.bitwise_count((s ^ t).view(np.uint64)).sum()) <= len(x ^ y)
 
 
+@pytest.mark.parametrize("two", [False, True])
+def test_a_scan_leaves_only_pairs_at_the_threshold(monkeypatch, two):
+    monkeypatch.setattr(near_dup, "PART", 130, raising=False)  # several parts, the last word of each not full
+    rng = random.Random(12)
+    syllables = [a + b for a in "bdgkmnrt" for b in "aeio"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(2, 4)))
+    base = [f"repair of {word()} road near {word()} in {word()} " + " ".join(word() for _ in range(rng.choice((0, 1, 4, 40)))) for _ in range(400)]
+    edited = [" ".join(word() if rng.random() < 0.2 else x for x in b.split()) for b in base for _ in range(2)]
+    names = sorted({x.strip() for x in base + edited} | {"aaa", "aaaa", "aab", "abc", "a" * 300})
+    side = np.array([rng.randint(0, 1) if two else 0 for _ in names])
+    sets = near_dup.Sets(names, side, 0.65)
+    i, j = sets.scan(0)
+    got = [tuple(sorted(p)) for p in zip(sets.order[i].tolist(), sets.order[j].tolist())]
+    subs = [{x[k : k + 3] for k in range(len(x) - 2)} for x in names]
+    want = {(a, b) for b in range(len(names)) for a in range(b) if (not two or side[a] != side[b]) and len(subs[a] & subs[b]) >= 0.65 * len(subs[a] | subs[b])}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 200
+    assert -(-3_700_000 // near_dup.CHUNK) < 20  # copies of each name in the tiles of the largest block of 6.1 GB
+
+
 # ---- percentiles
 def test_percentiles_exact_and_summarised(spark):
     rng = np.random.default_rng(5)
