@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions.text import join_key, vendor_key
-from tallymark.runtime import small_side
+from tallymark.runtime import materialize, small_side
 
 METHODS = {
     "WORK_ID": ("work_id",), "TRANSACTION_ID": ("transaction_id",), "SCHEME_WORK_DISTRICT_YEAR": ("scheme", "work_id", "district", "financial_year"),
@@ -15,22 +18,64 @@ METHODS = {
 IDENTIFIERS = ("work_id", "transaction_id")
 
 
-def _keys(df: DataFrame, id_column: str) -> DataFrame:
-    """(id, strength, method, key): each key a row supports; a key with a hole in it is none."""
+#: Pairs that one task makes, and tasks of a join beyond which each makes more.
+PAIRS, TASKS = 4_000_000, 2_000
+
+
+def _rows(df: DataFrame, id_column: str) -> DataFrame:
+    """(id, a column for each method): the key that a row supports; one with a hole in it is null."""
     fields = {f for fs in METHODS.values() for f in fs}
     put = df.select(F.col(id_column).alias("id"), *[(join_key(F.col(f).cast("string"), f in IDENTIFIERS) if f in df.columns else F.lit(None).cast("string")).alias(f) for f in sorted(fields)])
     whole = lambda fs: F.when(sum(F.col(f).isNull().cast("int") for f in fs) == 0, F.concat_ws("|", *fs))
-    found = [F.struct(F.lit(len(METHODS) - i).alias("strength"), F.lit(m).alias("method"), whole(fs).alias("key")) for i, (m, fs) in enumerate(METHODS.items())]
-    return put.select("id", F.explode(F.array(*found)).alias("k")).select("id", "k.strength", "k.method", "k.key").filter("key IS NOT NULL")
+    return put.select("id", *[whole(fs).alias(m) for m, fs in METHODS.items()])
+
+
+def _keys(df: DataFrame, id_column: str) -> DataFrame:
+    """(id, method, key): each key a row supports."""
+    found = [F.struct(F.lit(m).alias("method"), F.col(m).alias("key")) for m in METHODS]
+    return _rows(df, id_column).select("id", F.explode(F.array(*found)).alias("k")).select("id", "k.*").filter("key IS NOT NULL")
+
+
+def _held(df: DataFrame, id_column: str, methods: list[str], side: str) -> DataFrame:
+    """(side, several_side, method, key, side0, side1, ...): each key of the distinct rows, with the stronger keys of the same row.
+    several: the id has rows that differ in their keys."""
+    rows = _rows(df, id_column).select("id", *methods).repartition("id").distinct()
+    rows = materialize(rows.withColumn("several", F.count(F.coalesce(*methods)).over(Window.partitionBy("id")) > 1), "keys")
+    above = lambda i: [(F.col(m) if j < i else F.lit(None).cast("string")).alias(f"{side}{j}") for j, m in enumerate(methods[:-1])]
+    found = [F.struct(F.lit(m).alias("method"), F.col(m).alias("key"), *above(i)) for i, m in enumerate(methods)]
+    return rows.select(F.col("id").alias(side), F.col("several").alias(f"several_{side}"), F.explode(F.array(*found)).alias("k")).select(side, f"several_{side}", "k.*").filter("key IS NOT NULL")
 
 
 def match_blocked(records: DataFrame, findings: DataFrame, record: str = "record_id", finding: str = "audit_id") -> DataFrame:
     """(record, finding, method, key): each pair that shares a key, by its strongest. The pairs are the result, and come
-    straight from the join; the strongest key is found by an aggregation with a map side."""
-    a, b = _keys(records, record).withColumnRenamed("id", "r"), _keys(findings, finding).withColumnRenamed("id", "f")
-    pairs = a.join(b.drop("strength"), ["method", "key"])
-    best = pairs.groupBy("r", "f").agg(F.max(F.struct("strength", "method", "key")).alias("b"))
-    return best.select(F.col("r").alias(record), F.col("f").alias(finding), F.col("b.method").alias("match_method"), F.col("b.key").alias("match_key"))
+    straight from the join: two rows that share a stronger key don't meet by a weaker one. Only the pairs of ids whose rows
+    differ in their keys are shuffled, for the strongest key over those rows. Keys of many pairs are split."""
+    methods = [m for m, fs in METHODS.items() if {*fs} <= {*records.columns} & {*findings.columns}] or [*METHODS]
+    a, b = _held(records, record, methods, "r"), _held(findings, finding, methods, "f")
+    count = lambda d, n: d.groupBy("method", "key").agg(F.count("*").alias(n))
+    meet = materialize(count(a, "a").join(count(b, "b"), ["method", "key"]).select("method", "key", (F.col("a").cast("double") * F.col("b")).alias("pairs")), "meetings")
+    total = meet.agg(F.sum("pairs")).first()[0] or 0.0
+    most = max(PAIRS, total / TASKS)
+    hot = small_side(meet.filter(F.col("pairs") > most).select("method", "key", F.ceil(F.col("pairs") / most).cast("int").alias("parts")))
+    tasks = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / most))
+    on = ["method", "key", "part"]
+    a, b = (d.join(hot, ["method", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))) for d in (a, b))
+    a = a.withColumn("part", F.pmod(F.xxhash64("r"), F.col("parts")).cast("int")).drop("parts")
+    b = b.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    weaker = F.lit(False)
+    for j in range(len(methods) - 1):
+        weaker |= F.coalesce(F.col(f"r{j}") == F.col(f"f{j}"), F.lit(False))
+
+    def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
+        return x.repartition(tasks, *on).join(y.repartition(tasks, *on), on).filter(~weaker).select("r", "f", "method", "key")
+
+    out = pairs(a.filter("NOT several_r"), b.filter("NOT several_f"))
+    found = [pairs(x, y) for x, y, some in ((a.filter("several_r"), b, a.filter("several_r")), (a.filter("NOT several_r"), b.filter("several_f"), b.filter("several_f"))) if not some.isEmpty()]
+    if found:
+        strength = F.create_map(*[F.lit(v) for i, m in enumerate(METHODS) for v in (m, len(METHODS) - i)])[F.col("method")]
+        best = reduce(DataFrame.unionByName, found).groupBy("r", "f").agg(F.max(F.struct(strength.alias("strength"), "method", "key")).alias("b"))
+        out = out.unionByName(best.select("r", "f", "b.method", "b.key"))
+    return out.select(F.col("r").alias(record), F.col("f").alias(finding), F.col("method").alias("match_method"), F.col("key").alias("match_key"))
 
 
 def match_counts(records: DataFrame, findings: DataFrame, record: str = "record_id", finding: str = "audit_id") -> DataFrame:

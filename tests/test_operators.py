@@ -116,6 +116,33 @@ def test_blocked_matching_equals_naive(spark):
     assert got == want
 
 
+def test_blocked_matching_shuffles_no_pairs(spark, monkeypatch):
+    # keys split over tasks, repeated ids with equal and with other keys, ids that are null
+    schema = "{} long, work_id string, district string, financial_year string"
+    left = [(i, f"W{i % 7}", "pune", "2019-20") for i in range(40)]
+    right = [(i, f"W{i % 5}" if i % 3 else None, "Pune", "2019-20") for i in range(30)]
+
+    def matched(a, b):
+        return matching.match_blocked(spark.createDataFrame(a, schema.format("record_id")), spark.createDataFrame(b, schema.format("audit_id")))
+
+    def want(a, b):
+        keys = lambda r: [("WORK_ID", r[1])] * bool(r[1]) + [("DISTRICT_YEAR", f"{r[2].upper()}|2019 20")]
+        best = {}
+        for x in a:
+            for y in b:
+                for k in set(keys(x)) & set(keys(y)):
+                    best[x[0], y[0]] = max(best.get((x[0], y[0]), k), k)  # WORK_ID is the stronger and sorts last
+        return sorted(((*ids, *k) for ids, k in best.items()), key=repr)
+
+    for most in (4_000_000, 50):
+        monkeypatch.setattr(matching, "PAIRS", most, raising=False)
+        plain = matched(left, right + right[:3])
+        assert sorted(map(tuple, plain.collect()), key=repr) == want(left, right)
+        assert "Aggregate" not in plain._jdf.queryExecution().optimizedPlan().toString()
+        a, b = left + [(0, "W3", "pune", "2019-20"), (None, "W1", "pune", "2019-20"), (None, "W2", "pune", "2019-20")], right + [(1, "W6", "pune", "2019-20"), (1, "W0", "nashik", "2019-20"), (None, None, "pune", "2019-20")]
+        assert sorted(map(tuple, matched(a, b).collect()), key=repr) == want(a, b)
+
+
 def test_screens(spark):
     bids = [("b", "d", "c", float(p)) for p in (100, 110, 150, 160)] + [("b", "d", None, 5.0), ("b", "d", "t", 7.0), ("b", "d", "t", 7.0), ("b", "d", "z", None)]
     df = spark.createDataFrame(bids, "buyer_id string, tender_publications_firstcallfortenderdate string, main_cpv_4 string, bid_price double")
